@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .packing import op1_best_fit_packing
 from .sharding import op10_two_pass_shuffle
+from .simhash import op3_simhash_components
 from .token_files import op7_token_files
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_simhash_components": op3_simhash_components,
     "op7_token_files": op7_token_files,
     "op10_two_pass_shuffle": op10_two_pass_shuffle,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_benchmark_passages
 from .packing import op1_best_fit_packing
 from .sharding import op10_two_pass_shuffle
 from .simhash import op3_simhash_components
@@ -10,6 +11,7 @@ from .token_files import op7_token_files
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash_components": op3_simhash_components,
+    "op4_benchmark_passages": op4_benchmark_passages,
     "op7_token_files": op7_token_files,
     "op10_two_pass_shuffle": op10_two_pass_shuffle,
 }

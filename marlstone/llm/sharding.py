@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from .common import prefix_sums, table, written
 
 
+#: Buckets whose offsets are sent to all executors, 16 bytes each.
+BROADCAST_BUCKETS = 1 << 20
+
+
 def fisher_yates(n: int, seed) -> np.ndarray:
     """A uniform permutation of n places."""
     order = np.arange(n)
@@ -56,7 +60,10 @@ def two_pass_shuffle(docs: DataFrame, n_shards: int, *, seed: int = 0, bucket_by
     over = max(least, 1)
     shard = F.when(at < cut, F.floor(at / (least + 1))).otherwise(more + F.floor((at - cut) / over)).cast("int")
     first = F.when(at < cut, F.col("shard") * (least + 1)).otherwise(cut + (F.col("shard") - more) * least)
-    placed = done.join(prefix_sums(sizes, "_ms_bucket", "count", "_ms_before"), "_ms_bucket")
+    before = prefix_sums(sizes, "_ms_bucket", "count", "_ms_before")
+    if buckets <= BROADCAST_BUCKETS:  # a row of two numbers each; with more, the join is left to Spark
+        before = F.broadcast(before)
+    placed = done.join(before, "_ms_bucket")
     return placed.withColumn("shard", shard).withColumn("slot", (at - first).cast("long")).select(*keep, "shard", "slot")
 
 

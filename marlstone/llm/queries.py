@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import op4_benchmark_passages
 from .packing import op1_best_fit_packing
+from .quality import op9_quality
 from .sharding import op10_two_pass_shuffle
 from .simhash import op3_simhash_components
 from .token_files import op7_token_files
+from .toxicity import op2_classifier_chain
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_classifier_chain": op2_classifier_chain,
     "op3_simhash_components": op3_simhash_components,
     "op4_benchmark_passages": op4_benchmark_passages,
     "op7_token_files": op7_token_files,
+    "op9_quality": op9_quality,
     "op10_two_pass_shuffle": op10_two_pass_shuffle,
 }
 SQL: dict[str, str] = {}

@@ -57,16 +57,39 @@ class Encoder:
             return key
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
+    def _parts(self, key: str) -> list[str]:
+        """Keys whose ids in a row are those of key: a sign after a letter is cut off from it by both vocabularies, and
+        the one without white space has no upper case."""
+        sign = ""
+        if len(key) > 1 and key[-1] in ".,;:!?" and key[-2] <= "\xff" and key[-2].isalpha():
+            key, sign = key[:-1], key[-1]
+        if not self.spaced and key.isascii():
+            key = key.lower()
+        if not sign:
+            return [key]
+        return [key, "\0" + sign if self.spaced else sign]
+
     def _learn(self, new: list[str]) -> None:
         known, older = self.known, self.older
-        fresh = []
+        whole = []
+        fresh = {}
         for k in new:
             if k in older:
                 known[k] = older[k]
-            else:
-                fresh.append(k)
+                continue
+            parts = self._parts(k)
+            whole.append((k, parts))
+            for p in parts:
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        fresh[p] = True
         if fresh:
             known.update(zip(fresh, self.whole([self._means(k) for k in fresh])))
+        for k, parts in whole:
+            if k not in known:
+                known[k] = b"".join(known[p] for p in parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text in bytes; null is the empty text."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_benchmark_passages
+from .neighbours import op5_anisotropic_search
 from .packing import op1_best_fit_packing
 from .quality import op9_quality
 from .sharding import op10_two_pass_shuffle
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_classifier_chain": op2_classifier_chain,
     "op3_simhash_components": op3_simhash_components,
     "op4_benchmark_passages": op4_benchmark_passages,
+    "op5_anisotropic_search": op5_anisotropic_search,
     "op7_token_files": op7_token_files,
     "op9_quality": op9_quality,
     "op10_two_pass_shuffle": op10_two_pass_shuffle,

@@ -10,6 +10,8 @@ from .sharding import op10_two_pass_shuffle
 from .simhash import op3_simhash_components
 from .token_files import op7_token_files
 from .toxicity import op2_classifier_chain
+from .url_rules import SQL as URL_SQL
+from .url_rules import op8_redirect_equivalence
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -18,7 +20,8 @@ QUERIES = {
     "op4_benchmark_passages": op4_benchmark_passages,
     "op5_anisotropic_search": op5_anisotropic_search,
     "op7_token_files": op7_token_files,
+    "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_quality": op9_quality,
     "op10_two_pass_shuffle": op10_two_pass_shuffle,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_redirect_equivalence": URL_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_benchmark_passages
+from .line_chunks import op6_line_chunks
 from .neighbours import op5_anisotropic_search
 from .packing import op1_best_fit_packing
 from .quality import op9_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_simhash_components": op3_simhash_components,
     "op4_benchmark_passages": op4_benchmark_passages,
     "op5_anisotropic_search": op5_anisotropic_search,
+    "op6_line_chunks": op6_line_chunks,
     "op7_token_files": op7_token_files,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_quality": op9_quality,

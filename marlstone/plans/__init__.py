@@ -1,0 +1 @@
+from . import factors  # noqa: F401

@@ -1 +1 @@
-from . import factors  # noqa: F401
+from . import factors, reports  # noqa: F401

@@ -1 +1 @@
-from . import factors, reports  # noqa: F401
+from . import cleaning, factors, reports  # noqa: F401

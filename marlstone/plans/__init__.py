@@ -1 +1 @@
-from . import cleaning, factors, reports  # noqa: F401
+from . import cleaning, factors, reports, research  # noqa: F401

@@ -1 +1 @@
-from . import cleaning, factors, reports, research  # noqa: F401
+from . import cleaning, factors, news, reports, research, trading  # noqa: F401

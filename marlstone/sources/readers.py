@@ -16,7 +16,7 @@ def json_days(spark: SparkSession, path: str, schema: StructType | str, start=No
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, type, tags, body) of Markdown files with a YAML head."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{name}:\s*(.*)$", 1)), F.lit(""))
     tags = F.filter(F.split(F.regexp_replace(field("tags"), r"[\[\]]", ""), r"\s*,\s*"), lambda t: t != "")

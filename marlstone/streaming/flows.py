@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """Event time becomes a timestamp, as watermarks ask for; the session's time zone is UTC."""
+    own = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return own.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def of_groups(events: DataFrame, groups: list[str]) -> DataFrame:
@@ -55,7 +57,7 @@ def cooldown(events: DataFrame, days: int = 5) -> DataFrame:
             state.update((regime, day))
             yield pd.DataFrame(out, columns=["user_id", "ts", "regime"])
 
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows = events.select("user_id", "ts", "event_type")
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, regime string", "regime string, day long", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -124,5 +124,9 @@ def test_streams_equal_batches(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = flows.read_events(spark, str(tmp_path / "in"), events.schema, files=10)
     got = flows.run_once(flows.tumbling(stream), "t_tumbling", "complete").select("start", "event_type", "n")
-    want = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").count().select("w.start", "event_type", "count")
+    want = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").count().select("w.start", "event_type", "count")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    users = flows.run_once(flows.active_users(stream), "t_users", "complete")
+    assert users.count() > 0
+    switched = flows.run_once(flows.cooldown(stream), "t_switched")
+    assert switched.select("user_id").distinct().count() == events.select("user_id").distinct().count()

@@ -11,6 +11,8 @@ import os
 import re
 from struct import pack
 
+import numpy as np
+
 #: Segments that a worker remembers before the older half may go.
 MEMORY = 500_000
 #: White space next to white space, or of a rare kind, takes the careful way.
@@ -29,6 +31,10 @@ class Encoder:
         self.spaced = spaced
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # ids that begin a word of letters after a space, or end one; a text of such words is cut at these
+        edge = [k for k, i in self.library.get_vocab().items() if (k[0] == "\u0120" if spaced else k.endswith("</w>"))]
+        self.edge = np.zeros(self.library.get_vocab_size(), bool)
+        self.edge[[self.library.token_to_id(k) for k in edge]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -37,6 +43,22 @@ class Encoder:
         every = (e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
         return [pack(f"<{len(ids)}I", *ids) for ids in every]
 
+    def _words(self, keys: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, encoded together: the library is twice as fast on longer texts."""
+        space = " " if self.spaced else ""
+        groups = [keys[i : i + 100] for i in range(0, len(keys), 100)]
+        out: list[bytes] = []
+        for own, e in zip(groups, self.library.encode_batch_fast([space + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(own):
+                out += self.whole([space + k for k in own])
+                continue
+            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * at + 4).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _keys(self, text: str | None) -> list[str]:
         """Keys of a text's segments. A key stands for a space and itself; one that begins with a line end, or a zero
         byte for the start of the text, stands for what follows that."""
@@ -85,8 +107,10 @@ class Encoder:
                         known[p] = older[p]
                     else:
                         fresh[p] = True
-        if fresh:
-            known.update(zip(fresh, self.whole([self._means(k) for k in fresh])))
+        words = [k for k in fresh if k.isalpha() and (k.isascii() or max(k) <= "\xff")]
+        known.update(zip(words, self._words(words)))
+        if rest := [k for k in fresh if k not in known]:
+            known.update(zip(rest, self.whole([self._means(k) for k in rest])))
         for k, parts in whole:
             if k not in known:
                 known[k] = b"".join(known[p] for p in parts)

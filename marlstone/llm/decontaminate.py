@@ -223,7 +223,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, ke
                 for w, q, d in zip(word.tolist(), window_.tolist(), (np.searchsorted(first, word, "right") - 1).tolist()):
                     owner.setdefault(d, set()).update((item, i, w - int(first[d]), int(items.size[q])) for item, i in items.where[q])
             if len(blocks) > 1:
-                block.unpersist()
+                vars(block).pop("_value", None)  # read again from the worker's disk for the next shard
         covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
         n_hit = covered[first[1:]] - covered[first[:-1]]
         return np.diff(first), n_hit, owner

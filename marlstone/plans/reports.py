@@ -157,7 +157,7 @@ def decision_backfill(spark, sf_dir):
     return backfill_returns(decisions(spark, sf_dir), bars(spark, sf_dir))
 
 
-@query("decision_accuracy", f"WITH {DECISIONS} SELECT signal_type, count(*) AS total, count(return_5d) AS done, CAST(count_if(return_5d > 0) AS BIGINT) AS wins, round(count_if(return_5d > 0) / NULLIF(count(return_5d), 0), 6) AS accuracy, round(avg(return_5d), 6) AS avg_return FROM filled GROUP BY ROLLUP (signal_type)")
+@query("decision_accuracy", f"WITH {DECISIONS} SELECT signal_type, count(*) AS total, count(return_5d) AS done, count(*) FILTER (WHERE return_5d > 0) AS wins, round(count(*) FILTER (WHERE return_5d > 0) / NULLIF(count(return_5d), 0), 6) AS accuracy, round(avg(return_5d), 6) AS avg_return FROM filled GROUP BY ROLLUP (signal_type)")
 def decision_accuracy(spark, sf_dir):
     d = decision_backfill(spark, sf_dir)
     return d.rollup("signal_type").agg(F.count("*").alias("total"), F.count("return_5d").alias("done"), F.count_if(F.col("return_5d") > 0).alias("wins"), R(sdiv(F.count_if(F.col("return_5d") > 0), F.count("return_5d"))).alias("accuracy"), R(F.avg("return_5d")).alias("avg_return"))

@@ -1,12 +1,15 @@
-"""Repeated passages, by content-defined chunks of lines.
+"""Repeated passages, by content-defined runs of lines.
 
-A rolling hash over the hashes of two lines in a row chooses chunk borders, so that they depend on the lines around
-them alone and survive any shift; a line that is long enough for itself is a chunk of its own. Chunks are counted by
-hash over the whole corpus; those that repeat have their bytes compared, and all but the first are removed.
+From every line on, and up to every line, the shortest run of lines that has enough words is a unit: its other end
+depends on its own lines alone, so that it survives any shift. Units are counted by hash over the whole corpus; those
+that repeat have their bytes compared, and all but the first are removed. Every line of a repeated passage of enough
+words is in a unit that lies within the passage, so that passages go whole, wherever they begin and end.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,10 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Words that a line needs to be a chunk of its own, and that a chunk needs to be removed. A lighter chunk is removed
-#: only together with a neighbour, if the two repeat in a row and have as many words.
+#: Words that a passage needs to be removed.
 HEAVY = 24
-#: One border in so many lines, on average, among the lighter ones.
+#: One border of chunks() in so many lines, on average, among the lighter ones.
 SPACING = 2
 
 
@@ -26,7 +28,7 @@ def line_hash(line: bytes) -> int:
 
 
 def chunks(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int, int]]:
-    """(first line, end, words) of each chunk."""
+    """(first line, end, words) of chunks with borders by a rolling hash of two lines; passages are not found by these."""
     out = []
     start = words = 0
     before = 0
@@ -46,13 +48,25 @@ def chunks(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int, int]]
 
 
 def units(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int]]:
-    """(first line, end) of what may be removed: heavy chunks, and two in a row that are heavy together with a light one."""
-    own = chunks(lines, heavy)
-    out = [(a, b) for a, b, w in own if w >= heavy]
-    for (a, b, v), (_, c, w) in zip(own, own[1:]):
-        if min(v, w) < heavy <= v + w:
-            out.append((a, c))
-    return out
+    """(first line, end) of the shortest heavy run from each line on, and of the shortest up to each line."""
+    total = [0, *itertools.accumulate(line.count(b" ") + 1 if line else 0 for line in lines)]
+    out = {}
+    a = b = 0
+    n = len(lines)
+    for a in range(n):
+        b = max(b, a + 1)
+        while b < n and total[b] - total[a] < heavy:
+            b += 1
+        if total[b] - total[a] < heavy:
+            break
+        out[a, b] = None
+    a = 0
+    for b in range(1, n + 1):
+        while a + 1 < b and total[b] - total[a + 1] >= heavy:
+            a += 1
+        if total[b] - total[a] >= heavy:
+            out[a, b] = None
+    return list(out)
 
 
 def unit_hash(lines: list[bytes]) -> int:
@@ -85,11 +99,11 @@ def _occurrences(docs: DataFrame, heavy: int) -> DataFrame:
 
 def _apply(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """docs without the lines of marks that go, and the marked units' hashes and bytes. One shuffle of the texts."""
-    lists = marks.groupBy("_ms_id", "_ms_text").agg(F.collect_list(F.struct("a", "b", "h", "go")).alias("_ms_marks"))
+    lists = marks.groupBy("_ms_id", "_ms_text").agg(F.collect_list(F.struct("a", "b", "h", "cut")).alias("_ms_marks"))
     joined = docs.join(lists, ["_ms_id", "_ms_text"], "left")
     joined = joined.select(*[c for c in joined.columns if c != "_ms_marks"], "_ms_marks")
     at_text, at_marks = joined.columns.index("text"), len(joined.columns) - 1
-    unit = pa.list_(pa.struct([("a", pa.int32()), ("h", pa.int64()), ("bytes", pa.binary())]))
+    unit = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("bytes", pa.binary())]))
 
     def run(batches):
         for batch in batches:
@@ -105,17 +119,23 @@ def _apply(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 lines = text.split(b"\n")
                 gone = set()
                 for m in own:
-                    if m["go"]:
-                        gone.update(range(m["a"], m["b"]))
+                    gone.update(range(m["cut"], m["b"]))
                 texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone))
-                marked.append([{"a": m["a"], "h": m["h"], "bytes": b"\n".join(lines[m["a"] : m["b"]])} for m in own])
+                marked.append([{"a": m["a"], "b": m["b"], "h": m["h"], "bytes": b"\n".join(lines[m["a"] : m["b"]])} for m in own])
                 removed.append(len(gone))
             cols = list(batch.columns[:-1])
             cols[at_text] = pa.array(texts, pa.binary()).cast(batch.column(at_text).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int32()), pa.array(marked, unit)], [*batch.schema.names[:-1], "_ms_removed", "_ms_units"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    return joined.mapInArrow(run, f"{fields}, _ms_removed int, _ms_units array<struct<a:int,h:long,bytes:binary>>")
+    return joined.mapInArrow(run, f"{fields}, _ms_removed int, _ms_units array<struct<a:int,b:int,h:long,bytes:binary>>")
+
+
+def _cut():
+    """The line from which on a unit goes: its end if it is the first of its hash, past the first if they overlap."""
+    place = F.struct("_ms_id", "_ms_text", "a", "b")
+    same = (F.col("first._ms_id") == F.col("_ms_id")) & (F.col("first._ms_text") == F.col("_ms_text"))
+    return F.when(F.col("first") == place, F.col("b")).when(same, F.least("b", F.greatest("a", "first.b"))).otherwise(F.col("a"))
 
 
 def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -127,11 +147,13 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """
     keyed = _keyed(docs.drop("n_removed_lines"))
     found = written(_occurrences(keyed, heavy), "units")
-    # a hash with the place of its first occurrence; counted before anything is shuffled
+    # hashes are counted before anything is shuffled; most occur once
     place = F.struct("_ms_id", "_ms_text", "a", "b")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
+    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = written(found.join(repeated, "h", "left_semi"), "again")
+    firsts = again.groupBy("h").agg(F.min(place).alias("first"))
     # rows with one key say the same twice; where nothing else repeats, no mark goes
-    marks = found.join(repeated, "h").select("_ms_id", "_ms_text", "a", "b", "h", (F.col("first") != place).alias("go")).distinct()
+    marks = again.join(firsts, "h").select("_ms_id", "_ms_text", "a", "b", "h", _cut().alias("cut")).distinct()
     marks = written(marks, "marks")
     out = written(_apply(keyed, marks), "lines")
     exploded = out.select("_ms_id", "_ms_text", F.explode("_ms_units").alias("u")).select("_ms_id", "_ms_text", "u.*")
@@ -140,9 +162,9 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     unlike = written(unlike, "unlike")
     if not unlike.isEmpty():
         # different bytes met under one hash: these are told apart by the bytes themselves
-        own = exploded.join(unlike, "h", "left_semi").join(found, ["_ms_id", "_ms_text", "a", "h"]).select("_ms_id", "_ms_text", "a", "b", "h", "bytes").distinct()
+        own = exploded.join(unlike, "h", "left_semi").select("_ms_id", "_ms_text", "a", "b", "h", "bytes").distinct()
         firsts = own.groupBy("h", "bytes").agg(F.min(place).alias("first"))
-        exact = own.join(firsts, ["h", "bytes"]).select("_ms_id", "_ms_text", "a", "b", "h", (F.col("first") != place).alias("go"))
+        exact = own.join(firsts, ["h", "bytes"]).select("_ms_id", "_ms_text", "a", "b", "h", _cut().alias("cut"))
         out = written(_apply(keyed, marks.join(unlike, "h", "left_anti").unionByName(exact)), "lines")
     return out.withColumnRenamed("_ms_removed", "n_removed_lines").drop("_ms_id", "_ms_text", "_ms_units")
 

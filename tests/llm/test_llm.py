@@ -279,6 +279,23 @@ def test_line_chunks(spark, odd, none, monkeypatch):
     assert line_chunks.remove_repeats(odd).count() == len(ODD) and line_chunks.remove_repeats(none).count() == 0
 
 
+def test_repeated_passages_of_light_lines_go_whole(spark):
+    rng = np.random.default_rng(3)
+    line = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+    rows, want = [], {}
+    shapes = [(3, 20), (3, 17), (5, 12), (7, 8), (11, 5), (30, 4), (2, 12), (24, 1)]
+    for k, (n, words) in enumerate(shapes * 4):
+        passage = [line(words) for _ in range(n)] + [""] * (k % 2)
+        for doc in (2 * k, 2 * k + 1):
+            before, after = [line(3) for _ in range(int(rng.integers(0, 4)))], [line(40), line(5)][: int(rng.integers(0, 3))]
+            rows.append((doc, "\n".join(before + passage + after)))
+            want[doc] = "\n".join(before + (passage if doc % 2 == 0 else []) + after)
+    rows += [(900, "\n".join(["a b c d e f"] * 40)), (901, "\n".join(line(7) for _ in range(3)))]
+    want |= {900: "\n".join(["a b c d e f"] * 4), 901: rows[-1][1]}
+    got = {r.doc_id: r.text for r in line_chunks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
 def test_line_chunks_with_colliding_hashes(spark, monkeypatch):
     rows = [(i, " ".join(f"{k}w{j}" for j in range(30))) for i, k in enumerate((1, 2, 1, 3, 2))]
     found = line_chunks._occurrences

@@ -340,6 +340,30 @@ def test_near_copies(spark, none):
     assert near_copies.near_copies(none).count() == 0
 
 
+def _brute(rows, similarity=0.8):
+    """Groups by comparing all pairs."""
+    sets = {d: set(near_copies.shingle_set(t.encode(), 5)[1].tolist()) for d, t in rows}
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            shared = len(sets[a] & sets[b])
+            if a < b and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) and group[a] != group[b]:
+                lo, hi = sorted((group[a], group[b]))
+                group = {d: lo if g == hi else g for d, g in group.items()}
+    return group
+
+
+def test_near_copies_of_one_fingerprint_are_all_compared(spark, monkeypatch):
+    word = lambda k: f"w{k}"
+    rows = []
+    for g in range(30):  # pairs that are similar, and all of them share every view with everything else
+        base = [word(1000 * g + k) for k in range(100)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-3]))]
+    monkeypatch.setattr(near_copies, "views", lambda shingles: [1] * near_copies.VIEWS)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group for r in near_copies.near_copies(df).collect()} == _brute(rows)
+
+
 def test_scores_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

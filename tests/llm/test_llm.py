@@ -364,6 +364,17 @@ def test_near_copies_of_one_fingerprint_are_all_compared(spark, monkeypatch):
     assert {r.doc_id: r.group for r in near_copies.near_copies(df).collect()} == _brute(rows)
 
 
+def test_short_and_bare_near_copies_are_all_found(spark, monkeypatch):
+    rows = []
+    for g in range(250):  # four shingles in five, 40 in 50, and 39 in 49, which is less than 0.8
+        for n, lost in ((9, 1), (54, 10), (53, 10)):
+            base = [f"w{g}x{n}x{k}" for k in range(n)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-lost]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: d - (1 if d % 2 and d % 6 != 5 else 0) for d, _ in rows}
+    assert {r.doc_id: r.group for r in near_copies.near_copies(df).collect()} == want
+
+
 def test_scores_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

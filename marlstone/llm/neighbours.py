@@ -3,7 +3,8 @@
 Vectors are cut into pairs of dimensions, each with sixteen centroids: four bits. Codes and codebooks minimise a loss
 that weighs the part of the residual parallel to the vector more than the rest, as that part moves the scores of the
 queries that matter. A query scans the codes with a table of partial scores, two codes to a look-up, and the best of
-every block of rows are scored again on the original vectors, in double precision.
+every block of rows are scored again on the original vectors, in double precision; so are all others that their codes
+and residuals do not prove to be worse than those, so that the result is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import table, written
 
 #: Vectors that the codebooks are fitted on, those of the smallest hashes. Every row is encoded and scanned.
 SAMPLE = 20_000
-#: Rows in a block, and those of each block that are scored exactly for each query.
+#: Rows in a block, and those of each block that are scored exactly for each query before any bound is known.
 BLOCK = 32_768
 RERANK = 96
 #: Queries that are sent to the executors at a time.
@@ -173,6 +174,8 @@ def _block(ids, rows, qid, q, books, weight, k, rerank) -> pa.RecordBatch:
     x = np.zeros((len(rows), m * _SUB))
     x[:, :dim] = _unit(rows)
     codes = np.concatenate([assign(x[a : a + 4096], books, weight) for a in range(0, len(x), 4096)]).astype(np.uint8)
+    # lengths of the residuals, with room for the single precision of the scan
+    left = np.sqrt(((x - books[np.arange(m), codes].reshape(x.shape)) ** 2).sum(1)) + 1e-4
     if m % 2:
         codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
     pairs = np.ascontiguousarray((codes[:, ::2] * 16 + codes[:, 1::2]).T)
@@ -196,6 +199,17 @@ def _block(ids, rows, qid, q, books, weight, k, rerank) -> pa.RecordBatch:
         pick = pick[ids[pick] != qid[i]]
         exact = np.einsum("ij,j->i", rows[pick], q[i]) / (norms[pick] * np.sqrt(np.einsum("i,i->", q[i], q[i])))
         first = np.lexsort((ids[pick], -exact))[:k]
+        # a score is at most that of the code and the residual's length; rows that could come among the best are scored too
+        size = np.sqrt(np.einsum("i,i->", q[i], q[i]))
+        least = exact[first[-1]] if len(first) == k else -np.inf
+        could = near / size + left >= least
+        could[pick] = False
+        rest = np.flatnonzero(could)
+        rest = rest[ids[rest] != qid[i]]
+        if len(rest):
+            more = [np.einsum("ij,j->i", rows[r], q[i]) / (norms[r] * size) for r in np.split(rest, range(4096, len(rest), 4096))]
+            pick, exact = np.concatenate([pick, rest]), np.concatenate([exact, *more])
+            first = np.lexsort((ids[pick], -exact))[:k]
         out.append((np.full(len(first), qid[i]), ids[pick][first], exact[first]))
     a, b, c = (np.concatenate(z) for z in zip(*out))
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])

@@ -261,6 +261,22 @@ def test_neighbours_recall(spark):
     assert found >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+def test_neighbours_in_a_tight_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + 0.03 * rng.normal(size=(1000, 16))
+    x[1000:1200] = x[1200]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i in range(0, 3000, 50):
+        s = np.round(u @ u[i], 12)
+        s[i] = -2
+        assert got[i] == np.lexsort((np.arange(3000), -s))[:5].tolist()
+
+
 def test_neighbours_odd(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]

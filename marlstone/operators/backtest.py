@@ -22,14 +22,24 @@ def momentum_signals(df: DataFrame, entry: float = 0.05, exit_: float = -0.05, o
 
 
 def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: float = 0.001, slippage: float = 0.001, impact: bool = False) -> DataFrame:
-    """(keys, curve, pnls) by an ordered fold over each key's bars: all cash in whole shares at an entry, all out at an
-    exit, an entry looked at first. With ``impact`` large orders pay 0.1 sqrt(order / amount) more.
+    """(keys, date, v, pnl): what is held at each bar, and what a sale at it earned.
 
-    The state is a few scalars and the curve so far; bars of a key are those of one instrument.
+    All cash goes in whole shares at an entry (debts too, as shares owed, which no exit sells), all out at an exit, an
+    entry looked at first. With ``impact`` large orders pay 0.1 sqrt(order / amount) more. The position can only change at bars with a signal, and of exits in a
+    row only at the first; the ordered fold sees these alone, and its state is three numbers and the trades. Every bar
+    then takes the position of the last trade up to it.
     """
     cols = ["date", "close", "en", "ex"] + (["amount"] if impact else [])
+    bars = df.where("close is not null").select(*keys, *cols)
+    w = Window.partitionBy(*keys).orderBy("date")
+    kind = F.when(F.col("en") & F.col("ex"), 3).when(F.col("en"), 1).when(F.col("ex"), 2)
+    marked = bars.withColumn("_k", kind)
+    before = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("_p", before)
+    moves = marked.where((F.col("_k") != 2) | (F.coalesce("_p", F.lit(0)) != 2))
     rows = F.array_sort(F.collect_list(F.struct(*cols)))
-    zero = F.struct(F.lit(cash).alias("cash"), F.lit(0).cast("long").alias("shares"), F.lit(0.0).alias("paid"), F.array().cast("array<double>").alias("curve"), F.array().cast("array<double>").alias("pnls"))
+    trade = "array<struct<date:date,cash:double,shares:bigint,pnl:double>>"
+    zero = F.struct(F.lit(cash).alias("cash"), F.lit(0).cast("long").alias("shares"), F.lit(0.0).alias("paid"), F.array().cast(trade).alias("trades"))
 
     def cost(order, r):
         if not impact:
@@ -37,34 +47,34 @@ def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: floa
         return F.when((r["amount"] > 0) & (order > 0) & (order >= 0.01 * r["amount"]), 0.1 * F.sqrt(order / r["amount"])).otherwise(0.0)
 
     def step(s, r):
-        buy = r["en"] & (s["shares"] == 0)
-        sell = ~buy & r["ex"] & (s["shares"] > 0)
         ask = r["close"] * (1 + F.lit(slippage) + cost(s["cash"], r)) * (1 + F.lit(fees))
         bid = r["close"] * (1 - F.lit(slippage) - cost(s["shares"] * r["close"], r)) * (1 - F.lit(fees))
-        bought = F.when(buy, F.floor(sdiv(s["cash"], ask))).otherwise(F.lit(0)).cast("long")
-        paid = F.when(buy, bought * ask).otherwise(s["paid"])
+        many = F.coalesce(sdiv(s["cash"], ask), F.lit(0.0))
+        shares = F.when(many < 0, F.ceil(many)).otherwise(F.floor(many)).cast("long")
+        buy = r["en"] & (s["shares"] == 0)
+        sell = ~buy & r["ex"] & (s["shares"] > 0)
         got = s["shares"] * bid
-        cash_ = F.when(buy, s["cash"] - bought * ask).when(sell, s["cash"] + got).otherwise(s["cash"])
-        shares = F.when(buy, bought).when(sell, F.lit(0).cast("long")).otherwise(s["shares"])
-        pnls = F.when(sell, F.concat(s["pnls"], F.array(got - s["paid"]))).otherwise(s["pnls"])
-        return F.struct(cash_.alias("cash"), shares.alias("shares"), paid.alias("paid"), F.concat(s["curve"], F.array(cash_ + shares * r["close"])).alias("curve"), pnls.alias("pnls"))
+        bought = F.struct((s["cash"] - shares * ask).alias("cash"), shares.alias("shares"), (shares * ask).alias("paid"), F.concat(s["trades"], F.array(F.struct(r["date"].alias("date"), (s["cash"] - shares * ask).alias("cash"), shares.alias("shares"), F.lit(None).cast("double").alias("pnl")))).alias("trades"))
+        sold = F.struct((s["cash"] + got).alias("cash"), F.lit(0).cast("long").alias("shares"), F.lit(0.0).alias("paid"), F.concat(s["trades"], F.array(F.struct(r["date"].alias("date"), (s["cash"] + got).alias("cash"), F.lit(0).cast("long").alias("shares"), (got - s["paid"]).alias("pnl")))).alias("trades"))
+        return F.when(buy & (shares != 0), bought).when(sell, sold).otherwise(s)
 
-    grouped = df.where("close is not null").groupBy(*keys).agg(rows.alias("rows"))
-    return grouped.select(*keys, F.transform("rows", lambda r: r["date"]).alias("dates"), F.aggregate("rows", zero, step).alias("s")).select(*keys, "dates", "s.curve", "s.pnls")
+    folded = moves.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.explode(F.aggregate("rows", zero, step)["trades"]).alias("t"))
+    held = bars.join(folded.select(*keys, F.col("t.date").alias("date"), "t"), [*keys, "date"], "left")
+    last = F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    v = F.coalesce(last["cash"] + last["shares"] * F.col("close"), F.lit(cash))
+    return held.select(*keys, "date", v.alias("v"), F.col("t.pnl").alias("pnl"))
 
 
-def summarise(folded: DataFrame, keys: list[str], cash: float = 1_000_000.0) -> DataFrame:
-    """Return, Sharpe ratio, drawdown, win rate and trades of each curve."""
-    points = folded.select(*keys, "pnls", F.posexplode("curve").alias("i", "v"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    points = points.withColumns({"r": sdiv("v", F.lag("v").over(w)) - 1, "dd": sdiv(F.col("v") - F.max("v").over(w), F.max("v").over(w))})
+def summarise(curve: DataFrame, keys: list[str], cash: float = 1_000_000.0) -> DataFrame:
+    """Return, Sharpe ratio, drawdown, win rate and trades of each curve (keys, date, v, pnl)."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    points = curve.withColumns({"r": sdiv("v", F.lag("v").over(w)) - 1, "dd": sdiv(F.col("v") - F.max("v").over(w), F.max("v").over(w))})
     std = F.stddev_samp("r")
-    wins = F.size(F.filter(F.first("pnls"), lambda p: p > 0))
-    n = F.size(F.first("pnls"))
+    total = F.max_by("v", "date") / cash - 1
     return points.groupBy(*keys).agg(
-        (F.max_by("v", "i") / cash - 1).alias("total_return"), (F.max_by("v", "i") / cash - 1).alias("annual_return"),
+        total.alias("total_return"), total.alias("annual_return"),
         F.when(std >= 1e-10, sdiv(F.avg("r"), std) * YEAR).otherwise(0.0).alias("sharpe_ratio"), F.min("dd").alias("max_drawdown"),
-        F.coalesce(sdiv(wins, n), F.lit(0.0)).alias("win_rate"), n.cast("long").alias("trade_count"),
+        F.coalesce(sdiv(F.count_if(F.col("pnl") > 0), F.count("pnl")), F.lit(0.0)).alias("win_rate"), F.count("pnl").alias("trade_count"),
     )
 
 
@@ -90,11 +100,19 @@ def portfolio_returns(df: DataFrame) -> DataFrame:
 
 
 def compound(df: DataFrame, r: str = "r", *keys: str, by: str = "date") -> DataFrame:
-    """Adds equity, peak and drawdown of returns compounded in order; a series is a row a day."""
+    """Adds equity, peak and drawdown of returns compounded in order; a series is a row a day.
+
+    The product of 1 + r is kept as a sum of logarithms, a count of sign changes and of factors of zero, so that a loss
+    of all, or of more, stays one. A null return counts as none.
+    """
     w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    own = df.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col(r))).over(w)))
+    factor = 1 + F.coalesce(F.col(r), F.lit(0.0))
+    size = F.exp(F.sum(F.when(factor != 0, F.ln(F.abs(factor)))).over(w))
+    turns = F.sum(F.when(factor < 0, 1).otherwise(0)).over(w)
+    nothing = F.max(factor == 0).over(w)
+    own = df.withColumn("equity", F.when(nothing, 0.0).otherwise(size * F.when(turns % 2 == 0, 1.0).otherwise(-1.0)))
     own = own.withColumn("peak", F.max("equity").over(w))
-    return own.withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
+    return own.withColumn("drawdown", sdiv(F.col("equity") - F.col("peak"), "peak"))
 
 
 def inverse_volatility(returns: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def outliers_iqr(spark, sf_dir):
     return clean.outliers(bars(spark, sf_dir), "amount", "iqr", 1.5, by=["ticker"]).select("ticker", "date", "is_outlier")
 
 
-@query("split_adjust", f"WITH {BARS} SELECT ticker, date, round(close * 2, 8) AS close, round(volume / 2, 8) AS volume FROM bars WHERE date < DATE '1997-01-01'")
+@query("split_adjust", f"WITH {BARS} SELECT ticker, date, round(CASE WHEN date < DATE '1997-01-01' THEN close * 2 ELSE close END, 8) AS close, round(CASE WHEN date < DATE '1997-01-01' THEN volume / 2 ELSE volume END, 8) AS volume FROM bars")
 def split_adjust(spark, sf_dir):
-    b = bars(spark, sf_dir).where("date < DATE '1997-01-01'").withColumn("split_ratio", F.lit(2.0))
+    b = bars(spark, sf_dir).withColumn("split_ratio", F.when(F.col("date") < F.lit("1997-01-01").cast("date"), 2.0))
     return clean.adjust_for_splits(b).select("ticker", "date", R("close", 8).alias("close"), R("volume", 8).alias("volume"))
 
 
@@ -83,15 +83,16 @@ def pe_repair(spark, sf_dir):
     return clean.repair_pe(p, "pe").select("entity", R("pe").alias("pe"))
 
 
-@query("clean_factor_recipe", f"WITH {XSEC}, p AS (SELECT entity, f_revenue AS f FROM xsec WHERE entity % 9 <> 0), q AS (SELECT quantile_cont(f, 0.01) AS lo, quantile_cont(f, 0.99) AS hi FROM p) SELECT entity, round(least(greatest(f, lo), hi), 6) AS f FROM p, q")
+@query("clean_factor_recipe", f"WITH {XSEC}, p AS (SELECT entity, f_revenue AS f FROM xsec WHERE entity % 9 <> 0 AND entity % 10 <> 0), q AS (SELECT quantile_cont(f, 0.01) AS lo, quantile_cont(f, 0.99) AS hi FROM p) SELECT entity, round(least(greatest(f, lo), hi), 6) AS f FROM p, q")
 def clean_factor_recipe(spark, sf_dir):
-    p = xsec(spark, sf_dir).select("entity", F.when(F.col("entity") % 9 != 0, F.col("f_revenue")).alias("f"))
+    planted = F.when(F.col("entity") % 10 == 0, F.lit(float("inf"))).when(F.col("entity") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("f_revenue"))
+    p = xsec(spark, sf_dir).select("entity", planted.alias("f"))
     return clean.clean_factors(p, ["f"]).select("entity", R("f").alias("f"))
 
 
-@query("clip_range", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_discount * 100, 2), 8), 6) AS pct, greatest(l_quantity, 10) AS quantity FROM lineitem WHERE l_orderkey % 7 = 0")
+@query("clip_range", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_discount * 100, 2), 8), 6) AS pct, greatest(l_quantity, 10) AS quantity FROM lineitem")
 def clip_range(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 100).alias("pct"), F.col("l_quantity").alias("quantity"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 100).alias("pct"), F.col("l_quantity").alias("quantity"))
     return clean.clip_by_range(li, {"pct": (2, 8), "quantity": (10, None), "absent": (0, 1)}).withColumn("pct", R("pct"))
 
 
@@ -112,12 +113,12 @@ def align_calendar(spark, sf_dir):
     return align.on_calendar(s, cal).select("ticker", "date", R("close", 8).alias("close"), "volume")
 
 
-EVENTS = "ev AS (SELECT 'Brand#' || CAST(o_custkey % 5 + 1 AS VARCHAR) || CAST(o_orderkey % 5 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS score FROM orders WHERE o_orderkey % 13 = 0 GROUP BY ALL)"
+EVENTS = "ev AS (SELECT 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS score FROM orders GROUP BY ALL)"
 
 
 def events(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0")
-    ticker = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 5 + 1).cast("string"), (F.col("o_orderkey") % 5 + 1).cast("string"))
+    o = table(spark, sf_dir, "orders")
+    ticker = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
     return o.groupBy(ticker.alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("score"))
 
 

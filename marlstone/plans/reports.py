@@ -121,7 +121,7 @@ def prediction_accuracy(spark, sf_dir):
     return o.agg(F.count("*").alias("total"), F.coalesce(hit, F.lit(0)).alias("correct"), R(F.coalesce(sdiv(hit, F.count("*")), F.lit(0.0))).alias("accuracy"))
 
 
-DECISIONS = f"""{BARS}, dec AS (SELECT o_orderkey AS decision_id, CAST(o_orderdate AS DATE) AS decision_date, 'Brand#' || CAST(o_custkey % 5 + 1 AS VARCHAR) || CAST(o_orderkey % 5 + 1 AS VARCHAR) AS ticker, o_orderpriority AS signal_type FROM orders WHERE o_orderkey % 10 = 3),
+DECISIONS = f"""{BARS}, dec AS (SELECT o_orderkey AS decision_id, CAST(o_orderdate AS DATE) AS decision_date, 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, o_orderpriority AS signal_type FROM orders),
 fwd AS (SELECT d.decision_id, b.close, row_number() OVER (PARTITION BY d.decision_id ORDER BY b.date) AS rn FROM dec d JOIN bars b ON b.ticker = d.ticker AND b.date BETWEEN d.decision_date AND d.decision_date + 15),
 filled AS (SELECT d.decision_id, d.ticker, d.decision_date, d.signal_type,
  {', '.join(f"round(max(CASE WHEN rn = {k + 1} THEN close END) / NULLIF(max(CASE WHEN rn = 1 THEN close END), 0) - 1, 6) AS return_{k}d" for k in (1, 3, 5, 10))}
@@ -129,8 +129,8 @@ filled AS (SELECT d.decision_id, d.ticker, d.decision_date, d.signal_type,
 
 
 def decisions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 3")
-    ticker = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 5 + 1).cast("string"), (F.col("o_orderkey") % 5 + 1).cast("string"))
+    o = table(spark, sf_dir, "orders")
+    ticker = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
     return o.select(F.col("o_orderkey").alias("decision_id"), F.to_date("o_orderdate").alias("decision_date"), ticker.alias("ticker"), F.col("o_orderpriority").alias("signal_type"))
 
 
@@ -176,7 +176,7 @@ def pending_decisions(spark, sf_dir):
     return d.select("decision_id", "ticker", "decision_date").orderBy("decision_date", "decision_id").limit(200)
 
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @query("table_stats", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
@@ -217,14 +217,14 @@ def universe(spark, sf_dir):
     return bars(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("n_days")).orderBy(F.desc("n_days"), "ticker")
 
 
-@query("ticker_search", "SELECT DISTINCT p_name FROM part WHERE p_name LIKE '%1%' ORDER BY p_name LIMIT 20")
+@query("ticker_search", "SELECT DISTINCT p_name FROM part WHERE p_name LIKE '%ring%' ORDER BY p_name LIMIT 20")
 def ticker_search(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_name").contains("1")).select("p_name").distinct().orderBy("p_name").limit(20)
+    return table(spark, sf_dir, "part").where(F.col("p_name").contains("ring")).select("p_name").distinct().orderBy("p_name").limit(20)
 
 
-@query("board_search", "SELECT n_name FROM nation WHERE contains(lower(n_name), lower('An'))")
+@query("board_search", "SELECT n_name FROM nation WHERE contains(lower(n_name), lower('Tion_1'))")
 def board_search(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where(F.lower("n_name").contains("an")).select("n_name")
+    return table(spark, sf_dir, "nation").where(F.lower("n_name").contains("Tion_1".lower())).select("n_name")
 
 
 @query("calendar_year", f"WITH {BARS} SELECT DISTINCT date AS trade_date FROM bars WHERE year(date) = 1997")
@@ -339,9 +339,9 @@ def report_rollup(spark, sf_dir):
     return days.groupBy(F.to_date(F.date_trunc("week", "d")).alias("week")).agg(F.count("*").alias("n_days"), F.array_join(F.sort_array(F.collect_list(F.date_format("d", "yyyy-MM-dd"))), ",").alias("days"))
 
 
-@query("set_difference", "SELECT DISTINCT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT DISTINCT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")).subtract(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("semi_anti", "SELECT c_mktsegment AS segment, CAST(count_if(EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)) AS BIGINT) AS big, count(*) AS n FROM customer GROUP BY 1")

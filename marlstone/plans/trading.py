@@ -35,33 +35,41 @@ def signals_momentum(spark, sf_dir):
     return signals(spark, sf_dir).select("ticker", "date", "en", "ex")
 
 
-def _fold(source, extra=""):
-    return f"""bar AS (SELECT *, row_number() OVER ({W}) AS i FROM {source}),
-f AS (SELECT ticker, CAST(0 AS BIGINT) AS i, 1000000.0::DOUBLE AS cash, CAST(0 AS BIGINT) AS shares, 0.0::DOUBLE AS paid, NULL::DOUBLE AS pnl, NULL::DOUBLE AS v FROM (SELECT DISTINCT ticker FROM bar)
- UNION ALL SELECT f.ticker, b.i,
- CASE WHEN b.en AND f.shares = 0 THEN f.cash - floor(f.cash / (close * 1.001 * 1.001)) * (close * 1.001 * 1.001) WHEN b.ex AND f.shares > 0 THEN f.cash + f.shares * (close * 0.999 * 0.999) ELSE f.cash END,
- CASE WHEN b.en AND f.shares = 0 THEN CAST(floor(f.cash / (close * 1.001 * 1.001)) AS BIGINT) WHEN b.ex AND f.shares > 0 THEN 0 ELSE f.shares END,
- CASE WHEN b.en AND f.shares = 0 THEN floor(f.cash / (close * 1.001 * 1.001)) * (close * 1.001 * 1.001) ELSE f.paid END,
- CASE WHEN NOT (b.en AND f.shares = 0) AND b.ex AND f.shares > 0 THEN f.shares * (close * 0.999 * 0.999) - f.paid END,
- CASE WHEN b.en AND f.shares = 0 THEN f.cash - floor(f.cash / (close * 1.001 * 1.001)) * (close * 1.001 * 1.001) + floor(f.cash / (close * 1.001 * 1.001)) * close
-  WHEN b.ex AND f.shares > 0 THEN f.cash + f.shares * (close * 0.999 * 0.999) ELSE f.cash + f.shares * close END
- FROM f JOIN bar b ON b.ticker = f.ticker AND b.i = f.i + 1),
-r AS (SELECT *, v / lag(v) OVER (PARTITION BY ticker ORDER BY i) - 1 AS r, v / max(v) OVER (PARTITION BY ticker ORDER BY i) - 1 AS dd FROM f WHERE i > 0)
-SELECT ticker, round(last(v ORDER BY i) / 1000000 - 1, 6) AS total_return, round(CASE WHEN stddev_samp(r) >= 1e-10 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END, 4) AS sharpe_ratio,
- round(min(dd), 6) AS max_drawdown, round(CASE WHEN count(pnl) > 0 THEN count_if(pnl > 0) / count(pnl) ELSE 0 END, 6) AS win_rate, count(pnl) AS trade_count FROM r GROUP BY ticker"""
+def _fold(source, key="ticker", impact=False):
+    """The recursion over the bars of each key, and its summary, as SQL."""
+    more = lambda order: f" + CASE WHEN amount > 0 AND {order} > 0 AND {order} >= 0.01 * amount THEN 0.1 * sqrt({order} / amount) ELSE 0 END" if impact else ""
+    ask, bid = f"(close * (1 + 0.001{more('f.cash')}) * 1.001)", f"(close * (1 - (0.001{more('f.shares * close')})) * 0.999)"
+    buy, sell, n = "b.en AND f.shares = 0", "b.ex AND f.shares > 0", f"trunc(f.cash / {ask})"
+    on = " AND ".join(f"b.{k} = f.{k}" for k in key.split(", "))
+    fk = ", ".join(f"f.{k}" for k in key.split(", "))
+    return f"""bar AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date) AS i FROM {source} WHERE close IS NOT NULL),
+f AS (SELECT {key}, CAST(0 AS BIGINT) AS i, 1000000.0::DOUBLE AS cash, CAST(0 AS BIGINT) AS shares, 0.0::DOUBLE AS paid, NULL::DOUBLE AS pnl, NULL::DOUBLE AS v FROM (SELECT DISTINCT {key} FROM bar)
+ UNION ALL SELECT {fk}, b.i,
+ CASE WHEN {buy} THEN f.cash - {n} * {ask} WHEN {sell} THEN f.cash + f.shares * {bid} ELSE f.cash END,
+ CASE WHEN {buy} THEN CAST({n} AS BIGINT) WHEN {sell} THEN 0 ELSE f.shares END,
+ CASE WHEN {buy} THEN {n} * {ask} ELSE f.paid END,
+ CASE WHEN NOT ({buy}) AND {sell} THEN f.shares * {bid} - f.paid END,
+ CASE WHEN {buy} THEN f.cash - {n} * {ask} + {n} * close WHEN {sell} THEN f.cash + f.shares * {bid} ELSE f.cash + f.shares * close END
+ FROM f JOIN bar b ON {on} AND b.i = f.i + 1),
+r AS (SELECT *, v / lag(v) OVER (PARTITION BY {key} ORDER BY i) - 1 AS r, v / max(v) OVER (PARTITION BY {key} ORDER BY i) - 1 AS dd FROM f WHERE i > 0),
+done AS (SELECT {key}, last(v ORDER BY i) / 1000000 - 1 AS total_return, CASE WHEN stddev_samp(r) >= 1e-10 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END AS sharpe_ratio,
+ min(dd) AS max_drawdown, CASE WHEN count(pnl) > 0 THEN count_if(pnl > 0) / count(pnl) ELSE 0 END AS win_rate, count(pnl) AS trade_count FROM r GROUP BY {key})"""
+
+
+_SHOW = "round(total_return, 6) AS total_return, round(sharpe_ratio, 4) AS sharpe_ratio, round(max_drawdown, 6) AS max_drawdown, round(win_rate, 6) AS win_rate, trade_count FROM done"
 
 
 def _shown(df, *keys):
     return df.select(*keys, R("total_return").alias("total_return"), R("sharpe_ratio", 4).alias("sharpe_ratio"), R("max_drawdown").alias("max_drawdown"), R("win_rate").alias("win_rate"), "trade_count")
 
 
-@query("backtest_signal", f"WITH RECURSIVE {SIG}, {_fold('sig')}")
+@query("backtest_signal", f"WITH RECURSIVE {SIG}, {_fold('sig')} SELECT ticker, {_SHOW}")
 def backtest_signal(spark, sf_dir):
     return _shown(bt.summarise(bt.equity(signals(spark, sf_dir), ["ticker"]), ["ticker"]), "ticker")
 
 
 REAL = f"""{SIG}, c AS (SELECT *, CASE WHEN coalesce(lag(close) OVER ({W}), 0) = 0 THEN 0 ELSE (close - lag(close) OVER ({W})) / abs(lag(close) OVER ({W})) END AS chg FROM sig),
-real_ AS (SELECT ticker, date, close, volume = 0 AS suspended, volume <> 0 AND chg >= 0.1 - 1e-6 AS upper, volume <> 0 AND chg <= -(0.1 - 1e-6) AS lower, en AS en0, ex AS ex0,
+real_ AS (SELECT ticker, date, close, amount, volume = 0 AS suspended, volume <> 0 AND chg >= 0.1 - 1e-6 AS upper, volume <> 0 AND chg <= -(0.1 - 1e-6) AS lower, en AS en0, ex AS ex0,
  en AND NOT (volume = 0 OR chg >= 0.1 - 1e-6) AS en, ex AND NOT (volume = 0 OR chg <= -(0.1 - 1e-6)) AS ex FROM c)"""
 
 
@@ -71,7 +79,7 @@ def realism_filter(spark, sf_dir):
     return r.groupBy("ticker").agg(F.count_if("no_entry").alias("rejected_entries"), F.count_if("no_exit").alias("rejected_exits"), F.count_if("suspended").alias("suspended_days"), F.count_if("upper").alias("upper_limit_days"), F.count_if("lower").alias("lower_limit_days"))
 
 
-@query("backtest_realism")
+@query("backtest_realism", f"WITH RECURSIVE {REAL}, {_fold('real_', impact=True)} SELECT ticker, {_SHOW}")
 def backtest_realism(spark, sf_dir):
     return _shown(bt.summarise(bt.equity(bt.realism(signals(spark, sf_dir)), ["ticker"], impact=True), ["ticker"]), "ticker")
 
@@ -84,7 +92,11 @@ def impact_slippage(spark, sf_dir):
 GRID = [(e, x) for e in (0.02, 0.05, 0.1) for x in (-0.05, -0.1)]
 
 
-@query("backtest_grid")
+_GRID = f"""{SIG}, grid(entry, exit) AS (VALUES {', '.join(f'({e}::DOUBLE, {x}::DOUBLE)' for e, x in GRID)}),
+tried AS (SELECT entry, exit, ticker, date, close, coalesce(momentum > entry AND rsi < 70, false) AS en, coalesce(momentum < exit OR rsi > 70, false) AS ex FROM feat, grid)"""
+
+
+@query("backtest_grid", f"WITH RECURSIVE {_GRID}, {_fold('tried', 'entry, exit, ticker')} SELECT entry, exit, round(avg(total_return), 6) AS mean_return, round(avg(sharpe_ratio), 4) AS mean_sharpe, CAST(sum(trade_count) AS BIGINT) AS trades FROM done GROUP BY ALL")
 def backtest_grid(spark, sf_dir):
     """Every pair of thresholds on every brand, one fold each; best Sharpe first."""
     grid = spark.createDataFrame(GRID, "entry double, exit double")
@@ -97,7 +109,11 @@ def backtest_grid(spark, sf_dir):
     return g.orderBy(F.desc("mean_sharpe"), "entry", "exit")
 
 
-@query("walk_forward")
+_WALK = f"""{SIG}, num AS (SELECT *, row_number() OVER ({W}) - 1 AS no, count(*) OVER (PARTITION BY ticker) AS n FROM sig),
+walk AS (SELECT ticker, k.period, date, close, en, ex FROM num, (SELECT unnest(range(0, 1000)) AS period) k WHERE no >= k.period * 63 + 252 AND no < k.period * 63 + 252 + 63 AND k.period * 63 + 252 + 63 <= n)"""
+
+
+@query("walk_forward", f"WITH RECURSIVE {_WALK}, {_fold('walk', 'ticker, period')} SELECT ticker, count(*) AS n_periods, round(avg(CASE WHEN sharpe_ratio > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS stability, round(avg(total_return), 6) AS mean_return, round(avg(sharpe_ratio), 4) AS mean_sharpe FROM done GROUP BY ticker")
 def walk_forward(spark, sf_dir, train: int = 252, test: int = 63, step: int = 63):
     """Backtests of the test windows, each after a training window; stability is the share of positive Sharpe ratios."""
     w = series()
@@ -123,33 +139,33 @@ def risk_parity(spark, sf_dir):
     return bt.inverse_volatility(returns(spark, sf_dir)).withColumn("weight", R("weight", 8))
 
 
-PORT = f"""{RET}, p AS (SELECT date, sum(coalesce(r, 0) / 25 * CASE WHEN lag_ THEN 1 ELSE 0 END) / 10000 AS r FROM (SELECT *, lag(close) OVER ({W}) IS NOT NULL AS lag_ FROM ret) GROUP BY date)"""
+PORT = f"""{BARS}, {INDEX}, p AS (SELECT date, -0.3::DOUBLE * coalesce(close / NULLIF(lag(close) OVER (ORDER BY date), 0) - 1, 0) AS r FROM index_bars)"""
 
 
 def portfolio(spark, sf_dir):
-    """Equal weights of the brands at a ten-thousandth, so that the noisy prices do not wipe the portfolio out."""
-    return bt.portfolio_returns(bars(spark, sf_dir).withColumn("weight", F.lit(1 / 250000)))
+    """Three tenths short of the index: some days lose more than all."""
+    return bt.portfolio_returns(index_bars(spark, sf_dir).withColumns({"ticker": F.lit("index"), "weight": F.lit(-0.3)}))
 
 
-@query("drawdown", f"WITH {PORT}, e AS (SELECT date, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS equity FROM p) SELECT date, round(equity, 4) AS equity, round(equity / max(equity) OVER (ORDER BY date) - 1, 6) AS drawdown FROM e")
+@query("drawdown", f"WITH {PORT}, e AS (SELECT date, product(1 + r) OVER (ORDER BY date) AS equity FROM p) SELECT date, round(equity, 4) AS equity, round(equity / max(equity) OVER (ORDER BY date) - 1, 6) AS drawdown FROM e")
 def drawdown(spark, sf_dir):
     return bt.compound(portfolio(spark, sf_dir)).select("date", R("equity", 4).alias("equity"), R("drawdown").alias("drawdown"))
 
 
-@query("backtest_portfolio", f"WITH {PORT}, e AS (SELECT date, r, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS equity FROM p), d AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 AS dd FROM e) SELECT round(last(equity ORDER BY date) - 1, 6) AS total_return, round(avg(r) / stddev_samp(r) * sqrt(252), 4) AS sharpe_ratio, round(min(dd), 6) AS max_drawdown FROM d")
+@query("backtest_portfolio", f"WITH {PORT}, e AS (SELECT date, r, product(1 + r) OVER (ORDER BY date) AS equity FROM p), d AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 AS dd FROM e) SELECT round(last(equity ORDER BY date) - 1, 6) AS total_return, round(avg(r) / stddev_samp(r) * sqrt(252), 4) AS sharpe_ratio, round(min(dd), 6) AS max_drawdown FROM d")
 def backtest_portfolio(spark, sf_dir):
     c = bt.compound(portfolio(spark, sf_dir))
     return c.agg(R(F.max_by("equity", "date") - 1).alias("total_return"), R(sdiv(F.avg("r"), F.stddev_samp("r")) * bt.YEAR, 4).alias("sharpe_ratio"), R(F.min("drawdown")).alias("max_drawdown"))
 
 
-@query("perf_metrics", f"""WITH {PORT}, e AS (SELECT date, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS equity FROM p), d AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 AS dd, equity / lag(equity) OVER (ORDER BY date) - 1 AS r FROM e),
+@query("perf_metrics", f"""WITH {PORT}, e AS (SELECT date, product(1 + r) OVER (ORDER BY date) AS equity FROM p), d AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 AS dd, equity / lag(equity) OVER (ORDER BY date) - 1 AS r FROM e),
 m AS (SELECT last(equity ORDER BY date) / first(equity ORDER BY date) - 1 AS tr, datediff('day', min(date), max(date)) AS days, min(dd) AS dd, avg(r) AS mu, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < 0) AS down FROM d)
-SELECT round(tr, 6) AS total_return, round(pow(1 + tr, 365.0::DOUBLE / greatest(days, 1)) - 1, 6) AS annual_return, round((mu * 252 - 0.02) / (sd * sqrt(252)), 4) AS sharpe, round((mu * 252 - 0.02) / (down * sqrt(252)), 4) AS sortino, round((pow(1 + tr, 365.0::DOUBLE / greatest(days, 1)) - 1) / abs(dd), 4) AS calmar, round(sd * sqrt(252), 6) AS volatility, round(dd, 6) AS max_drawdown FROM m""")
+SELECT round(tr, 6) AS total_return, round(CASE WHEN 1 + tr > 0 THEN pow(1 + tr, 365.0::DOUBLE / greatest(days, 1)) END - 1, 6) AS annual_return, round((mu * 252 - 0.02) / (sd * sqrt(252)), 4) AS sharpe, round((mu * 252 - 0.02) / (down * sqrt(252)), 4) AS sortino, round((CASE WHEN 1 + tr > 0 THEN pow(1 + tr, 365.0::DOUBLE / greatest(days, 1)) END - 1) / abs(dd), 4) AS calmar, round(sd * sqrt(252), 6) AS volatility, round(dd, 6) AS max_drawdown FROM m""")
 def perf_metrics(spark, sf_dir):
     c = bt.compound(portfolio(spark, sf_dir)).select("date", "equity", "drawdown")
     c = c.withColumn("r", sdiv("equity", F.lag("equity").over(Window.orderBy("date"))) - 1)
     m = c.agg((F.max_by("equity", "date") / F.min_by("equity", "date") - 1).alias("tr"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.min("drawdown").alias("dd"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"))
-    annual = F.pow(1 + F.col("tr"), F.lit(365.0) / F.greatest("days", F.lit(1))) - 1
+    annual = F.when(1 + F.col("tr") > 0, F.pow(1 + F.col("tr"), F.lit(365.0) / F.greatest("days", F.lit(1)))) - 1
     excess = F.col("mu") * 252 - 0.02
     return m.select(R("tr").alias("total_return"), R(annual).alias("annual_return"), R(sdiv(excess, F.col("sd") * bt.YEAR), 4).alias("sharpe"), R(sdiv(excess, F.col("down") * bt.YEAR), 4).alias("sortino"), R(sdiv(annual, F.abs("dd")), 4).alias("calmar"), R(F.col("sd") * bt.YEAR).alias("volatility"), R("dd").alias("max_drawdown"))
 
@@ -159,7 +175,7 @@ _SC = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in SCENARIOS)
 
 
 @query("stress_windows", f"""WITH {PORT}, s(scenario, a, b) AS (VALUES {_SC}), j AS (SELECT scenario, date, r, date <= b AS inside FROM p JOIN s ON date >= a),
-e AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY scenario, inside ORDER BY date)) AS eq, row_number() OVER (PARTITION BY scenario, inside ORDER BY date) AS no FROM j),
+e AS (SELECT *, product(1 + r) OVER (PARTITION BY scenario, inside ORDER BY date) AS eq, row_number() OVER (PARTITION BY scenario, inside ORDER BY date) AS no FROM j),
 d AS (SELECT *, eq / max(eq) OVER (PARTITION BY scenario, inside ORDER BY date) - 1 AS dd, max(eq) FILTER (inside) OVER (PARTITION BY scenario) AS hi FROM e),
 g AS (SELECT scenario, count_if(inside) AS n, last(eq ORDER BY date) FILTER (inside) AS eq, min(dd) FILTER (inside) AS dd, coalesce(min(no) FILTER (NOT inside AND eq >= hi), -1) AS back FROM d GROUP BY scenario)
 SELECT s.scenario, round(CASE WHEN coalesce(n, 0) < 5 THEN 0 ELSE eq - 1 END, 6) AS portfolio_return, round(CASE WHEN coalesce(n, 0) < 5 THEN 0 ELSE dd END, 6) AS max_drawdown, CAST(CASE WHEN coalesce(n, 0) < 5 THEN -2 ELSE back END AS INTEGER) AS recovery_days, CASE WHEN coalesce(n, 0) < 5 THEN true ELSE dd > -0.5 END AS survived FROM s LEFT JOIN g ON g.scenario = s.scenario""")

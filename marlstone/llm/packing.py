@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
     def cut(batches):
         enc = encoder(tokenizer, True)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for at in range(0, len(ids), 256):
                 rows = []
                 for doc, own in zip(ids[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist())):

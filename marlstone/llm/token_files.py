@@ -171,7 +171,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaced: bool = False) -> DataF
     """Files of all documents' ids, in ascending doc_id order (null first; equal ids by text, then in any order).
 
     Returns the table of segments: part and place of each in the order, the first of its ids within the part, the
-    number of its ids and the bytes. Equal doc_ids, however many, are spread over parts by text and partition.
+    number of its ids and the bytes. Equal doc_ids, however many, are spread over parts by text and partition. A null
+    or empty text is its end id alone; an empty table gives no segment. Other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_ms_text"), F.spark_partition_id().alias("_ms_from"))
     order = ["doc_id", "_ms_text", "_ms_from"]
@@ -195,9 +196,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaced: bool = False) -> DataF
 
         end = struct.pack("<I", END)
         for batch in batches:
-            doc, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc), 64):
-                for d, x in zip(doc[at : at + 64], enc.encode(texts.slice(at, 64).to_pylist())):
+            doc, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for at in range(0, len(doc), 256):
+                for d, x in zip(doc[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist())):
                     own.append(d)
                     ids.append(x + end)
                     held += len(x) // 4 + 1
@@ -212,6 +213,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaced: bool = False) -> DataF
 def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """A row a document from the files: doc_id, start, n_tokens and ids_crc32, and the ids themselves if asked for."""
     parts = prefix_sums(files.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "n", "_ms_before")
+    parts = F.broadcast(parts)  # a row of two numbers for each partition that wrote
     placed = files.join(parts, "part").select((F.col("_ms_before") + F.col("start")).alias("start"), "data")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
@@ -231,6 +233,10 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
+    """All documents' ids with the word vocabulary, written in Simple-8b segments and read back: a row a document.
+
+    A null or empty text is its end id; repeated rows each have their place; other columns are not read.
+    """
     import public_tokenizers
 
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

@@ -1 +1 @@
-from . import cleaning, desk, factors, news, reports, research, trading  # noqa: F401
+from . import cleaning, desk, factors, library, news, reports, research, trading  # noqa: F401

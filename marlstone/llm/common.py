@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Prefix of the columns the operators add for themselves; input columns so named are dropped.
+#: Prefix of the columns that the operators add for themselves on the way.
 OWN = "_ms_"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = OWN + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df without columns whose names begin as the operators' own do; they would clash on the way."""
+    return df.drop(*[c for c in df.columns if c.lower().startswith(OWN)])
+
+
+class Scratch:
+    """Tables on the way to a result, which go as soon as nothing reads them."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(written(df, tag))
+        return self.made[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for one in tables or list(self.made):
+            dropped(one)
+            self.made = [t for t in self.made if t is not one]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
+    """The folder that the driver and all executors share; a temporary one only where none is set and all is one process."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="marlstone-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

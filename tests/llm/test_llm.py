@@ -41,10 +41,11 @@ def docs():
     return dict(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
 
 
+LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
+
+
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*LIBRARY[path].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 def check_packing(rows, texts):
@@ -122,17 +123,46 @@ def test_simple8b_round_trip(n):
         assert (token_files.decode(words, offsets, n) == v).all()
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(docs, monkeypatch):
     import random
 
-    from marlstone.llm.tokens import Encoder
+    from marlstone.llm import tokens
 
     rng = random.Random(5)
-    parts = [" ", "  ", "\n", "\n\n", "\t", " \n ", "a", "Foo.", "é,", "12", "'s", "!", "\xa0", "\u3000", "\x1c", "<|endoftext|>", "中文", "\u0301", "İ.", "ΑΣ.", "\0", ".,"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
-    for path, spaced in ((BYTE, True), (WORD, False)):
-        e = Encoder(path, spaced)
-        assert e.encode(texts) == e.whole(texts)
+    parts = [
+        " ", "  ", "\n", "\n\n", "\t", " \n ", "a", "Foo.", "é,", "12", "'s", "!", "\xa0", "\u3000", "\x1c", "<|endoftext|>", "<|", "中文", "\u0301", "İ.", "ΑΣ.", "\0", ".,",
+        "'", "don't", "x5", "5%", "\x7f", "Word", "\u200b", "\ufeff", "“", "’s", "(", "A" * 30, "é" * 20, " b", "\r\n", "\u212a", "'LL", "_", "-",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + list(docs.values())
+    plain = [t for t in texts if "<|" not in t]
+    for group, memory in ((1 << 20, 500_000), (200, 100)):  # long texts are cut, and old segments are forgotten
+        monkeypatch.setattr(tokens, "GROUP", group)
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        for path, spaced in ((BYTE, True), (WORD, False)):
+            e = tokens.Encoder(path, spaced)
+            for own in (texts, plain):
+                want = [x.ids for x in LIBRARY[path].encode_batch(own, add_special_tokens=False)]
+                assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in own])] == want
+    assert e.encode([None, b""]) == [b"", b""]
+
+
+def test_encoder_tells_segments_of_one_hash_apart(monkeypatch, docs):
+    from marlstone.llm import tokens
+
+    monkeypatch.setattr(tokens, "_hash", lambda keys: keys[tokens.LANES].copy())
+    e = tokens.Encoder(WORD, False)
+    some = list(docs.values())[:20] + ["one two", "six ten", "a"]
+    for t in some:  # within a group, and against what is known
+        assert np.frombuffer(e.encode([t.encode()])[0], "<u4").tolist() == LIBRARY[WORD].encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_of_a_long_text(spark):
+    long = " ".join(f"word{i} and" for i in range(250_000)) + "x" * 50_000
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    ids = ids_of(BYTE, long)
+    rows = packing.pieces(df, BYTE).orderBy("piece").collect()
+    assert sum(r.length for r in rows) == len(ids)
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(ids[r.start : r.start + r.length]) for r in rows]
 
 
 def test_shuffle(spark, docs, odd, none):
@@ -235,6 +265,81 @@ def test_passages(spark, docs, none):
     assert decontaminate.find_passages(whole.select("doc_id", F.lit("x").alias("text")), items.limit(0)).where("contaminated").count() == 0
 
 
+def test_longest_matches_equal_all_pairs(monkeypatch):
+    """Matches of whole texts and of texts in pieces, with items in several blocks, against comparing all places."""
+    import random
+
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(30)] + ["é", "Ab", "x" * 5000]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(1, text(40).encode()), (2, text(5).encode()), (3, b"w1"), (4, b""), (5, b"...")]
+    items += [(6, items[0][1]), (None, text(30).encode())]
+    texts = [None, b"", text(30).encode(), items[0][1] + b" zz " + items[1][1], f"{text(20)} {items[0][1].decode()[20:150]} {text(30)}".encode(), items[6][1], b"w1", text(300).encode()]
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+    class Block:
+        def __init__(self, rows, window):
+            self.items = decontaminate.Items(rows, window)
+
+        @property
+        def value(self):
+            return self.items
+
+    def brute(t, window):
+        w, out = word.findall((t or b"").lower()), []
+        for k, (_, x) in enumerate(items):
+            own = word.findall(x.lower())
+            n = min(window, len(own))
+            found = {(a, b) for a in range(len(own) - n + 1) for b in range(len(w) - n + 1) if n and w[b : b + n] == own[a : a + n]}
+            for a, b in found:
+                if (a - 1, b - 1) not in found:
+                    m = 0
+                    while (a + m, b + m) in found:
+                        m += 1
+                    out.append((k, a, b, m - 1 + n))
+        return len(w), sorted(out)
+
+    for window in (10, 3, 1):
+        for shard in (1 << 20, 300):
+            monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+            blocks = [Block(items[:3], window), Block(items[3:], window)]
+            for group in [texts] if shard > 1000 else [[t] for t in texts]:
+                n_words, _, found = decontaminate._judge(group, blocks, window)
+                for k, t in enumerate(group):
+                    got = sorted(tuple(int(x[j]) for x in found[1:]) for j in np.flatnonzero(found[0] == k))
+                    assert (n_words[k], got) == brute(t, window)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch, spark):
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda joined, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(50))
+    df = spark.createDataFrame([(1, "aa bb cc dd"), (2, "aa bb cd dd"), (3, "zz yy xx ww")], "doc_id long, text string")
+    block = type("B", (), {"value": decontaminate.Items([(7, b"bb cc"), (8, b"cd")], 10)})()
+    n, names, (text, item, _, at, _) = decontaminate._judge([r.text.encode() for r in df.collect()], [block], 10)
+    assert sorted((int(t), names[i], int(a)) for t, i, a in zip(text, item, at)) == [(0, 7, 1), (1, 8, 2)]
+
+
+def test_contaminated_documents_go_whatever_the_columns(spark, odd, none):
+    items = spark.createDataFrame([(1, "start MID"), (2, "a b c d e f")], "item_id long, text string")
+    df = odd.withColumns({c: F.lit(1) for c in ("_ms_hit", "_ms_longest", "spans", "items")})
+    kept = decontaminate.remove_contaminated(df, items)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "6", "7", "8", "None", "None"]
+    assert decontaminate.remove_contaminated(none, items).count() == 0
+    assert decontaminate.remove_contaminated(df, items.limit(0)).count() == len(ODD)
+
+
+def test_passages_in_a_long_text(spark):
+    """A text of 20 MB, with a passage in its middle, at a cut of shards, and at its end."""
+    passage = " ".join(f"item{i}" for i in range(12))
+    filler = " ".join(f"w{i}" for i in range(150_000))
+    long = f"{filler} {passage} " * 12 + "y" * 3_000_000 + " " + filler * 2 + " " + passage
+    df = spark.createDataFrame([(1, long), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_passages(df, items).collect()}
+    assert got[1].n_words == len(long.split()) and got[1].n_hit == 13 * 12 and got[1].longest == 12
+    at = [k for k, w in enumerate(long.split()) if w == "item0"]
+    assert [(s.doc_word, s.item_word, s.n_words) for s in got[1].spans] == [(k, 0, 12) for k in at] and not got[2].contaminated
+
+
 def test_passages_of_short_and_equal_items(spark):
     docs = spark.createDataFrame([(1, "So it is: tiny item, here"), (2, None), (3, "tiny"), (4, "")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Tiny ITEM"), (2, "tiny item"), (None, "tiny item"), (10, "..."), (11, None)], "item_id long, text string")

@@ -23,7 +23,7 @@ def clean_ohlcv(df: DataFrame) -> DataFrame:
     return own.dropna(subset=["close"])
 
 
-def _stats(df: DataFrame, by: list[str] | None, **stats) -> DataFrame:
+def group_stats(df: DataFrame, by: list[str] | None, **stats) -> DataFrame:
     """df with a statistic in every row: by a join with one row a group, broadcast only if it is one row in all."""
     aggregates = [e.alias(n) for n, e in stats.items()]
     if not by:
@@ -36,7 +36,7 @@ def fill_missing(df: DataFrame, columns: list[str], method: str = "median", valu
     if method == "constant" and value is not None:
         return df.fillna({c: value for c in columns})
     stat = F.avg if method == "mean" else lambda c: F.percentile(c, 0.5)
-    own = _stats(df, by, **{f"_m_{c}": stat(c) for c in columns})
+    own = group_stats(df, by, **{f"_m_{c}": stat(c) for c in columns})
     return own.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).select(*df.columns)
 
 
@@ -45,17 +45,17 @@ def winsorize(df: DataFrame, columns: list[str], lower: float = 0.01, upper: flo
     stats = {}
     for c in columns:
         stats |= {f"_q_{c}": F.percentile(c, F.array(F.lit(lower), F.lit(upper))), f"_n_{c}": F.countDistinct(c)}
-    own = _stats(df, by, **stats)
+    own = group_stats(df, by, **stats)
     out = {c: F.when(F.col(f"_n_{c}") < 10, F.col(c)).when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])) for c in columns}
     return own.withColumns(out).select(*df.columns)
 
 
 def outliers(df: DataFrame, column: str, method: str = "zscore", threshold: float = 3.0, by: list[str] | None = None, out: str = "is_outlier") -> DataFrame:
     if method == "zscore":
-        own = _stats(df, by, _m=F.avg(column), _s=F.stddev_samp(column))
+        own = group_stats(df, by, _m=F.avg(column), _s=F.stddev_samp(column))
         flag = F.abs(sdiv(F.col(column) - F.col("_m"), "_s")) > threshold
     else:
-        own = _stats(df, by, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))))
+        own = group_stats(df, by, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))))
         spread = (F.col("_q")[1] - F.col("_q")[0]) * threshold
         flag = (F.col(column) < F.col("_q")[0] - spread) | (F.col(column) > F.col("_q")[1] + spread)
     return own.select(*df.columns, F.coalesce(flag, F.lit(False)).alias(out))
@@ -78,7 +78,7 @@ def clip_by_range(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 def repair_pe(df: DataFrame, column: str = "pe_ttm", by: list[str] | None = None) -> DataFrame:
     """Negative ratios take the median of the positive ones; all are held in [0, 200]."""
-    own = _stats(df, by, _m=F.percentile(F.when(F.col(column) > 0, F.col(column)), 0.5))
+    own = group_stats(df, by, _m=F.percentile(F.when(F.col(column) > 0, F.col(column)), 0.5))
     fixed = F.when(F.col(column) < 0, F.coalesce("_m", F.col(column))).otherwise(F.col(column))
     return own.withColumn(column, clamp(fixed, 0, 200)).select(*df.columns)
 

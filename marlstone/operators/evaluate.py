@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import rolling as r
 from marlstone.functions.safe import col, sdiv
+from marlstone.operators.clean import group_stats
 
 
 def avg_rank(c, *keys: str) -> Column:
@@ -75,37 +76,17 @@ def decay_curve(df: DataFrame, factor: str = "factor", close: str = "close", lag
 def correlation_matrix(wide: DataFrame, names: list[str]) -> DataFrame:
     """(factor_a, factor_b, corr) for a before or equal to b in names, pairwise complete; null without variance.
 
-    Each batch adds its products of all columns at once, as matrices; only sums of one row a pair and batch are
-    shuffled. Values are taken relative to each column's mean first, so that the sums keep their digits.
+    A row becomes one for each pair of names, of which there is a bounded number, and is summed up at once, before
+    anything is shuffled: the moments of each pair are all that leaves a task.
     """
-    k = len(names)
-    wide = wide.select(*[F.col(n).cast("double") for n in names]).persist()
-    means = wide.agg(*[F.avg(n).alias(n) for n in names]).first()
-    centre = [means[n] or 0.0 for n in names]
-
-    def products(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        up = np.triu_indices(k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)]) - centre
-            known = np.isfinite(x).astype(float)
-            x = np.where(known > 0, x, 0.0)
-            n, sx, sxx, sxy = known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x
-            cols = [up[0], up[1], *(m[up] for m in (n, sx, sx.T, sxx, sxx.T, sxy))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    parts = wide.mapInArrow(products, "i long, j long, " + ", ".join(f"{c} double" for c in sums))
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
-    var = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
-    spread = F.when((var("sx", "sxx") > 0) & (var("sy", "syy") > 0), F.sqrt(var("sx", "sxx")) * F.sqrt(var("sy", "syy")))
-    name = F.array(*[F.lit(n) for n in names])
-    corr = F.greatest(F.least(sdiv(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread), F.lit(1.0)), F.lit(-1.0))
-    return total.select(F.get(name, F.col("i").cast("int")).alias("factor_a"), F.get(name, F.col("j").cast("int")).alias("factor_b"), F.when(spread.isNotNull(), corr).alias("corr"))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    place = lambda k: F.get(F.array(*[F.lit(p[k]) for p in pairs]), F.col("_p"))
+    values = wide.select(F.array(*[F.col(n).cast("double") for n in names]).alias("_v")).select("_v", F.explode(F.array(*map(F.lit, range(len(pairs))))).alias("_p"))
+    both = values.select("_p", F.get("_v", place(0)).alias("_x"), F.get("_v", place(1)).alias("_y"))
+    both = both.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    found = both.groupBy("_p").agg(sdiv(F.covar_samp("_x", "_y"), F.stddev_samp("_x") * F.stddev_samp("_y")).alias("corr"))
+    every = wide.sparkSession.createDataFrame([(k, names[i], names[j]) for k, (i, j) in enumerate(pairs)], "_p int, factor_a string, factor_b string")
+    return F.broadcast(every).join(found, "_p", "left").select("factor_a", "factor_b", F.greatest(F.least("corr", F.lit(1.0)), F.lit(-1.0)).alias("corr"))
 
 
 def collinear_groups(matrix: DataFrame, names: list[str], threshold: float = 0.7) -> DataFrame:
@@ -137,20 +118,27 @@ def neutralise(df: DataFrame, columns: list[str], industry: str = "industry", ca
     """Residuals of a regression on industry dummies and, if given, the standardised log of size.
 
     Means within the industry take the place of the dummies; what size explains beyond them is taken off by its slope
-    (Frisch-Waugh). Groups of under 30 rows stay as they are.
+    (Frisch-Waugh). Groups of under 30 rows stay as they are. Without ``by`` sums over all rows are one row, joined
+    back, and no task holds them all.
     """
-    whole, inner = Window.partitionBy(*by), Window.partitionBy(*by, industry)
-    own = df.withColumn("_n", F.count("*").over(whole))
-    out = {}
+    inner = Window.partitionBy(*by, industry)
+    first = {"_n": F.count(F.lit(1))}
+    own = df
     if cap:
         own = own.withColumn("_l", F.when(F.col(cap) > 0, F.ln(cap)).otherwise(0.0))
-        own = own.withColumn("_z", (F.col("_l") - F.avg("_l").over(whole)) / (F.stddev_pop("_l").over(whole) + 1e-8))
+        first |= {"_m": F.avg("_l"), "_s": F.stddev_pop("_l")}
+    own = group_stats(own, list(by), **first)
+    if cap:
+        own = own.withColumn("_z", (F.col("_l") - F.col("_m")) / (F.col("_s") + 1e-8))
         own = own.withColumn("_z", F.col("_z") - F.avg("_z").over(inner))
+    own = own.withColumns({f"_y_{c}": F.col(c) - F.avg(c).over(inner) for c in columns})
+    if cap:
+        z = F.col("_z")
+        own = group_stats(own, list(by), _zz=F.sum(z * z), **{f"_zy_{c}": F.sum(z * F.col(f"_y_{c}")) for c in columns})
+    out = {}
     for c in columns:
-        own = own.withColumn(f"_y_{c}", F.col(c) - F.avg(c).over(inner))
         e = F.col(f"_y_{c}")
         if cap:
-            slope = F.coalesce(sdiv(F.sum(F.col("_z") * e).over(whole), F.sum(F.col("_z") * F.col("_z")).over(whole)), F.lit(0.0))
-            e = e - slope * F.col("_z")
+            e = e - F.coalesce(sdiv(f"_zy_{c}", "_zz"), F.lit(0.0)) * F.col("_z")
         out[c] = F.when(F.col("_n") >= 30, e).otherwise(F.col(c))
     return own.withColumns(out).select(*df.columns)

@@ -30,14 +30,16 @@ def title_tokens(title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(plain), " "), lambda t: t != ""))
 
 
-def dedup_similar(news: DataFrame, threshold: float = 0.8, rounds: int = 50) -> DataFrame:
+def dedup_similar(news: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Titles accepted in order of id: one goes if an accepted one before it has a token similarity of ``threshold``.
 
-    Candidates share one of the rarest words that two so similar titles must share (prefix filter), so no group of a
-    common word is paired with itself. A title falls as soon as one that stays is near and before it; those with no
-    open title before them stay. Chains settle from the front, a link a round. Titles without words all stay.
+    Of titles of equal words only the first can stay, so that these are one from the start and are never paired.
+    Candidates share one of the rarest words that two so similar titles must share (prefix filter). A title falls as
+    soon as one that stays is near and before it; those with no open title before them stay. Chains settle from the
+    front, a link a round, and every round settles some. Titles without words, and null ones, all stay.
     """
-    own = news.select("id", title_tokens(F.col("title")).alias("t")).where(F.size("t") > 0)
+    titled = news.select("id", F.array_sort(title_tokens(F.col("title"))).alias("t")).where(F.size("t") > 0)
+    own = titled.groupBy("t").agg(F.min("id").alias("id"))
     words = own.select("id", F.explode("t").alias("w"))
     rarity = words.groupBy("w").agg(F.count("*").alias("n"))
     ordered = words.join(rarity, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("o"))
@@ -47,21 +49,21 @@ def dedup_similar(news: DataFrame, threshold: float = 0.8, rounds: int = 50) ->
     cand = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = cand.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    near = both.where(shared >= F.lit(threshold) * (F.size("ta") + F.size("tb") - shared)).select("a", "b").persist()
-    fallen = near.select(F.col("b").alias("id")).limit(0)
-    open_ = near
-    for _ in range(rounds):
+    open_ = both.where(shared >= F.lit(threshold) * (F.size("ta") + F.size("tb") - shared)).select("a", "b").persist()
+    fallen = open_.select(F.col("b").alias("id")).limit(0).persist()
+    while not open_.isEmpty():
         # those of the open pairs that nothing open precedes stay
         stays = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
         falls = open_.join(stays, open_.a == stays.id, "left_semi").select(F.col("b").alias("id")).distinct()
-        fallen = fallen.unionByName(falls).persist()
+        more = fallen.unionByName(falls).persist()
         gone = falls.unionByName(stays)
-        open_ = open_.join(gone, open_.a == gone.id, "left_anti").join(falls, F.col("b") == falls.id, "left_anti").select("a", "b").persist()
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError("similar titles did not settle")
-    return news.join(fallen, "id", "left_anti")
+        rest = open_.join(gone, open_.a == gone.id, "left_anti").join(falls, F.col("b") == falls.id, "left_anti").select("a", "b").persist()
+        more.count(), rest.count()  # before what they are made of goes
+        for old in (open_, fallen):
+            old.unpersist()
+        open_, fallen = rest, more
+    copies = titled.join(own.select("id"), "id", "left_anti").select("id")
+    return news.join(fallen.unionByName(copies), "id", "left_anti")
 
 
 def event_key(symbol: Column, kind: Column, day: Column) -> Column:

@@ -37,28 +37,66 @@ def first_events(events: DataFrame, late: str = "24 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def cooldown(events: DataFrame, days: int = 5) -> DataFrame:
+def cooldown(events: DataFrame, days: int = 5, late: str = "1 hour", forget: int = 90) -> DataFrame:
     """Switches of each user's regime (event_type): one is let through if the last is at least ``days`` old.
 
-    The state is one row a user: the regime and the day of the last switch.
+    The state is one row a user: the regime and the day of the last switch; it goes when the watermark is ``forget``
+    days past that. A user's events of a trigger are put in order as a whole; a null type is no regime.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    day_ms = 86_400_000
+
     def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         regime, day = state.get if state.exists else (None, None)
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("ts").itertuples():
-                d = r.ts.toordinal()
-                if regime is None or (r.event_type != regime and d - day >= days):
-                    out.append((key[0], r.ts, r.event_type))
-                    regime, day = r.event_type, d
+        rows = pd.concat(list(batches)).dropna(subset=["event_type"]).sort_values("ts", kind="stable")
+        dates = (rows["ts"].astype("int64") // (day_ms * 10**6)).to_numpy() if str(rows["ts"].dtype) == "datetime64[ns]" else rows["ts"].map(lambda t: t.toordinal()).to_numpy()
+        out = []
+        kinds = rows["event_type"].to_numpy()
+        # only rows that differ from the one before can be switches
+        for k in [0, *((kinds[1:] != kinds[:-1]).nonzero()[0] + 1)] if len(rows) else []:
+            held = k
+            while held < len(rows) and kinds[held] == kinds[k]:
+                if regime is None or (kinds[held] != regime and dates[held] - day >= days):
+                    out.append(held)
+                    regime, day = kinds[held], int(dates[held])
+                    break
+                held += 1
+        if regime is not None:
             state.update((regime, day))
-            yield pd.DataFrame(out, columns=["user_id", "ts", "regime"])
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + forget * day_ms))
+        found = rows.iloc[out]
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": found["ts"], "regime": found["event_type"]})
+
+    rows = events.withWatermark("ts", late).select("user_id", "ts", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, regime string", "regime string, day long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def merge_sources(events: DataFrame, late: str = "24 hours") -> DataFrame:
+    """Events of a key (key, source, confidence, ts) within a day: how many sources, and the first confidence."""
+    g = events.withWatermark("ts", late).groupBy(F.window("ts", "24 hours").alias("w"), "key")
+    return g.agg(F.approx_count_distinct("source").alias("n_sources"), F.min_by("confidence", "ts").alias("confidence")).select("w.start", "key", "n_sources", "confidence")
+
+
+def first_batch(frames):
+    """The first of some frames that has rows, or the last; each is asked once, as a source is polled."""
+    last = None
+    for last in frames:
+        if not last.isEmpty():
+            break
+    return last
+
 
-    rows = events.select("user_id", "ts", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, regime string", "regime string, day long", "append", GroupStateTimeout.NoTimeout)
+def on_trading_days(spark: SparkSession, calendar: DataFrame, day, job):
+    """Run job() if the day is in the calendar; whether it ran. A timer calls this, as availableNow triggers do."""
+    if calendar.where(F.col("trade_date") == F.lit(day)).isEmpty():
+        return False
+    job()
+    return True
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

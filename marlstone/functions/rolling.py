@@ -69,21 +69,34 @@ def kurt(c, n: int, w: WindowSpec) -> Column:
 _FORGET = 39.2
 
 
-def ewm(df, c: str, span: int, out: str, keys=KEYS, by: str = "date"):
-    """df with the exponentially weighted mean of c (weights normalised over the rows so far); c has no gaps.
+def ewms(df, means: dict[str, tuple[str, int]], keys=KEYS, by: str = "date"):
+    """df with exponentially weighted means, out: (column, span), weights normalised over the rows so far; no gaps.
 
     Weighted sums are running sums in blocks of rows, scaled to each block's start so that nothing overflows; of the
-    earlier blocks only the last still counts in double precision.
+    earlier blocks only the last still counts in double precision. All means share the blocks and so their sorts.
     """
     from math import ceil, log
 
-    q = 1 - 2 / (span + 1)
-    block = ceil(_FORGET / -log(q))
+    qs = {out: 1 - 2 / (span + 1) for out, (_, span) in means.items()}
+    block = max(ceil(_FORGET / -log(q)) for q in qs.values())
+    if min(qs.values()) ** -block > 1e280:  # too unlike to share blocks
+        for out, one in means.items():
+            df = ewms(df, {out: one}, keys, by)
+        return df
     w = series(*keys, by=by)
-    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_j", F.col("_i") % block)
-    term = F.col(c) * F.pow(F.lit(1 / q), F.col("_j"))
-    here = F.sum(term).over(Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum(term).over(Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)), F.lit(0.0))
-    weights = (1 - F.pow(F.lit(q), F.col("_i") + 1)) / (1 - q)
-    mean_ = F.pow(F.lit(q), F.col("_j")) * (here + before * (q**block)) / weights
-    return df.withColumn(out, mean_).drop("_i", "_b", "_j")
+    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_b": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
+    inner = Window.partitionBy(*keys, "_b").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
+    terms = {out: F.col(c) * F.pow(F.lit(1 / qs[out]), F.col("_j")) for out, (c, _) in means.items()}
+    df = df.withColumns({f"_h_{out}": F.sum(t).over(inner) for out, t in terms.items()})
+    df = df.withColumns({f"_l_{out}": F.coalesce(F.sum(t).over(last), F.lit(0.0)) for out, t in terms.items()})
+    made = {}
+    for out, q in qs.items():
+        weights = (1 - F.pow(F.lit(q), F.col("_i") + 1)) / (1 - q)
+        made[out] = F.pow(F.lit(q), F.col("_j")) * (F.col(f"_h_{out}") + F.col(f"_l_{out}") * (q**block)) / weights
+    return df.withColumns(made).drop("_i", "_b", "_j", *[f"_{k}_{out}" for out in means for k in "hl"])
+
+
+def ewm(df, c: str, span: int, out: str, keys=KEYS, by: str = "date"):
+    """df with one exponentially weighted mean."""
+    return ewms(df, {out: (c, span)}, keys, by)

@@ -173,7 +173,7 @@ def compute(bars: DataFrame, names: list[str] | None = None, overrides: dict | N
     own = own.withColumn("_dcdv", F.col("_dc") * F.col("_dv"))
     if "macd_diff" in names:
         p = resolve("macd_diff", overrides)
-        own = r.ewm(r.ewm(own, "close", p["fast"], "_fast"), "close", p["slow"], "_slow").withColumn("_macd", F.col("_fast") - F.col("_slow"))
+        own = r.ewms(own, {"_fast": ("close", p["fast"]), "_slow": ("close", p["slow"])}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
         own = r.ewm(own, "_macd", p["signal"], "_signal")
     made = {}
     for n in names:

@@ -97,7 +97,7 @@ def indicators(bars: DataFrame) -> DataFrame:
     w = r.series()
     steps, rsi = rsi_plain("close", 14, w)
     own = bars.withColumns(steps).withColumn("rsi", rsi).drop(*steps)
-    own = r.ewm(r.ewm(own, "close", 12, "_e12"), "close", 26, "_e26").withColumn("dif", F.col("_e12") - F.col("_e26"))
+    own = r.ewms(own, {"_e12": ("close", 12), "_e26": ("close", 26)}).withColumn("dif", F.col("_e12") - F.col("_e26"))
     own = r.ewm(own, "dif", 9, "dea").withColumn("macd_bar", 2 * (F.col("dif") - F.col("dea"))).drop("_e12", "_e26")
     own = own.withColumn("ret", sdiv("close", F.lag("close").over(w)) - 1)
     more = {f"ma{n}": r.mean("close", n, w) for n in (5, 10, 20, 60, 120)}

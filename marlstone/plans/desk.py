@@ -193,9 +193,9 @@ ind AS (SELECT ticker, date, open, high, low, close, volume, macd AS dif, sig AS
 _SHOWN = ("ma5", "ma20", "ma120", "rsi", "dif", "dea", "macd_bar", "volatility", "vol_ma20", "vol_ma60")
 
 
-@query("indicators", f"WITH {_IND} SELECT ticker, date, {', '.join(f'round({c}, 6) AS {c}' for c in _SHOWN)} FROM ind")
+@query("indicators", f"WITH {_IND} SELECT ticker, date, {', '.join(f'round({c}, 4) AS {c}' for c in _SHOWN)} FROM ind")
 def indicators(spark, sf_dir):
-    return regime.indicators(bars(spark, sf_dir)).select("ticker", "date", *[R(c).alias(c) for c in _SHOWN])
+    return regime.indicators(bars(spark, sf_dir)).select("ticker", "date", *[R(c, 4).alias(c) for c in _SHOWN])
 
 
 # Strategies

@@ -275,11 +275,11 @@ def financials_latest(spark, sf_dir):
     return last.select("ticker", "r.report_date", R("r.revenue", 4).alias("revenue"), R("r.eps").alias("eps"))
 
 
-@query("financials_parsed", f"WITH {FUNDAMENTALS}, t AS (SELECT ticker, report_date, CASE WHEN month(report_date) = 3 THEN '--' ELSE CAST(round(revenue, 2) AS VARCHAR) END AS revenue FROM fundamentals) SELECT ticker, report_date, CASE WHEN month(report_date) <> 3 THEN round(CAST(revenue AS DOUBLE), 2) END AS revenue FROM t")
+@query("financials_parsed", f"WITH {FUNDAMENTALS}, t AS (SELECT ticker, report_date, CASE WHEN month(report_date) = 3 THEN '--' ELSE CAST(CAST(floor(revenue) AS BIGINT) AS VARCHAR) END AS revenue FROM fundamentals) SELECT ticker, report_date, CASE WHEN month(report_date) <> 3 THEN CAST(revenue AS DOUBLE) END AS revenue FROM t")
 def financials_parsed(spark, sf_dir):
     """Figures that arrive as text, one row a report; what is no number is null."""
-    t = fundamentals(spark, sf_dir).select("ticker", "report_date", F.when(F.month("report_date") == 3, "--").otherwise(F.round("revenue", 2).cast("string")).alias("revenue"))
-    return t.groupBy("ticker", "report_date").agg(F.first("revenue").alias("revenue")).select("ticker", "report_date", R(number(F.col("revenue")), 2).alias("revenue"))
+    t = fundamentals(spark, sf_dir).select("ticker", "report_date", F.when(F.month("report_date") == 3, "--").otherwise(F.floor("revenue").cast("string")).alias("revenue"))
+    return t.groupBy("ticker", "report_date").agg(F.first("revenue").alias("revenue")).select("ticker", "report_date", number(F.col("revenue")).alias("revenue"))
 
 
 @query("events_top", "SELECT event_type, event_id % 3 AS sentiment, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, sentiment LIMIT 10")

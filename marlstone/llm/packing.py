@@ -1,5 +1,9 @@
 """Best-fit packing by a grouping genetic algorithm.
 
+Islands start from best fit in shaken orders. Crossover injects whole well-filled bins and packs the pieces that they
+displace into the gaps; children are polished by emptying a few bins and filling each again with the pieces that fit
+it best; elites move on to the next island.
+
 Documents of one length are interchangeable, so an instance is the count of pieces of each length: at most
 ``capacity`` numbers, whatever the size of the corpus. A packing is a set of *kinds of bins* - the lengths in a bin,
 largest first - with the number of bins of each kind. The islands evolve such packings in Spark tasks; a seeded
@@ -19,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import in_pieces, plain, table, written
 from .tokens import encoder
 
 END = np.array([2], "<u4").tobytes()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Packing = dict[tuple[int, ...], int]
+#: Times that bins of a child are emptied and filled again.
+POLISH = 400
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -37,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
 
     def cut(batches):
         enc = encoder(tokenizer, True)
-        for batch in batches:
+        for batch in in_pieces(batches, 1024):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for at in range(0, len(ids), 256):
                 rows = []
@@ -99,8 +105,73 @@ def best_fit(left: dict[int, int], bins: Packing, capacity: int, order=None) ->
     return {kind: n for some in gaps.values() for kind, n in some.items()}
 
 
+def exchange(bins: Packing, left: dict[int, int], capacity: int, most: int = 256) -> tuple[Packing, dict[int, int]]:
+    """Fill bins up by changing one or two of their pieces, or none, for one or two larger ones that are ``left``.
+
+    The emptiest ``most`` kinds of bins are tried once, one bin of each; what comes out of a bin is left in its place.
+    """
+    bins, left = dict(bins), {s: n for s, n in left.items() if n}
+    kinds = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))[:most]
+    for kind in kinds:
+        gap = capacity - sum(kind)
+        sizes = sorted(left)
+        if not sizes:
+            break
+        best = (0, (), ())
+        outs = {()} | {(a,) for a in kind} | {(a, b) for i, a in enumerate(kind) for b in kind[i + 1 :]}
+        pairs = None
+        for out in sorted(outs):
+            room = sum(out) + gap
+            at = bisect.bisect_right(sizes, room) - 1
+            if at >= 0 and sizes[at] - sum(out) > best[0]:
+                best = (sizes[at] - sum(out), out, (sizes[at],))
+            if best[0] == gap:
+                break
+            if pairs is None:
+                pairs = _pair_sums(sizes, left, capacity)
+            total = int(pairs[0][min(room, capacity)])
+            if total - sum(out) > best[0]:
+                best = (total - sum(out), out, (total - int(pairs[1][total]), int(pairs[1][total])))
+            if best[0] == gap:
+                break
+        if not best[0]:
+            continue
+        _, out, in_ = best
+        bins[kind] -= 1
+        if not bins[kind]:
+            del bins[kind]
+        now = list(kind)
+        for a in out:
+            now.remove(a)
+            left[a] = left.get(a, 0) + 1
+        for a in in_:
+            left[a] -= 1
+            if not left[a]:
+                del left[a]
+        key = tuple(sorted([*now, *in_], reverse=True))
+        bins[key] = bins.get(key, 0) + 1
+    return bins, left
+
+
+def _pair_sums(sizes: list[int], left: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest sum of two pieces up to each number, 0 for none, and one piece of each sum."""
+    x = np.array(sizes)
+    i, j = np.triu_indices(len(x))
+    fine = ((i != j) | (np.array([left[s] for s in sizes])[i] > 1)) & (x[i] + x[j] <= capacity)
+    part = np.zeros(capacity + 1, np.int64)
+    part[(x[i] + x[j])[fine]] = x[j][fine]
+    return np.maximum.accumulate(np.where(part > 0, np.arange(capacity + 1), 0)), part
+
+
+def repaired(bins: Packing, left: dict[int, int], capacity: int, order=None) -> Packing:
+    """All pieces packed again: what is left goes by exchange into bins that have room, then by best fit."""
+    bins, left = exchange(bins, left, capacity)
+    return best_fit(left, bins, capacity, order)
+
+
 def crossover(mother: Packing, father: Packing, counts: dict[int, int], capacity: int, rng: random.Random) -> Packing:
-    """Inject whole well-filled bins of the father, drop the mother's bins that hold a piece twice now, best-fit the rest."""
+    """Inject whole well-filled bins of the father, drop the mother's bins that hold a piece twice now, and pack the
+    displaced pieces into the gaps."""
     used: Counter = Counter()
     child: Packing = {}
 
@@ -120,19 +191,86 @@ def crossover(mother: Packing, father: Packing, counts: dict[int, int], capacity
     own = sorted(mother, key=lambda k: (capacity - sum(k), rng.random()))
     for kind in own[: max(1, int(len(own) * 0.9))]:
         add(kind, mother[kind])
-    return best_fit({s: c - used[s] for s, c in counts.items() if c > used[s]}, child, capacity)
+    return repaired(child, {s: c - used[s] for s, c in counts.items() if c > used[s]}, capacity)
 
 
 def mutate(bins: Packing, capacity: int, rng: random.Random) -> Packing:
-    """Empty the worst bins and some others, then best-fit their pieces in a slightly shaken order."""
+    """Empty the worst bins and some others, one of a kind, and pack their pieces into the gaps in a shaken order."""
     kinds = sorted(bins, key=lambda k: sum(k))
-    gone = set(kinds[: 1 + len(kinds) // 20]) | {k for k in kinds if rng.random() < 0.05}
+    some = max(2, min(40, len(kinds) // 20))
+    gone = dict.fromkeys([*kinds[: rng.randint(1, some)], *rng.sample(kinds, min(len(kinds), rng.randint(1, some)))])
     left: Counter = Counter()
+    rest = dict(bins)
     for k in gone:
+        n = min(rest[k], rng.randint(1, 3))
         for s in k:
-            left[s] += bins[k]
+            left[s] += n
+        rest[k] -= n
+        if not rest[k]:
+            del rest[k]
     order = sorted(left, key=lambda s: -s * rng.uniform(0.9, 1.0))
-    return best_fit(left, {k: n for k, n in bins.items() if k not in gone}, capacity, order)
+    return repaired(rest, left, capacity, order + sorted(set().union(*rest) - set(order), reverse=True) if rest else order)
+
+
+def fullest(pieces: list[int], room: int) -> list[int]:
+    """Places of the pieces of the largest sum up to room, by the sums that can be reached as bits of a number."""
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for size in pieces:
+        reach.append((reach[-1] | reach[-1] << size) & mask)
+    total = reach[-1].bit_length() - 1
+    out = []
+    for k in range(len(pieces) - 1, -1, -1):
+        if not reach[k] >> total & 1:
+            out.append(k)
+            total -= pieces[k]
+    return out
+
+
+def refill(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
+    """Bins of the pieces: the largest one left and the others that fill up its bin best, again and again."""
+    pieces = sorted(pieces, reverse=True)
+    out = []
+    while pieces:
+        first = pieces.pop(0)
+        picked = fullest(pieces, capacity - first)
+        out.append((first, *sorted((pieces[k] for k in picked), reverse=True)))
+        for k in picked:  # from the last on
+            del pieces[k]
+    return out
+
+
+def polish(bins: Packing, capacity: int, rng: random.Random, tries: int) -> Packing:
+    """Empty one of the emptiest bins and a few others, and keep what refill makes of them where that is not worse.
+
+    Empty room so gathers in few bins until one of them is not needed any more.
+    """
+    bins = dict(bins)
+    square = lambda kinds: sum((sum(k) / capacity) ** 2 for k in kinds)
+    kinds: list[tuple[int, ...]] = []
+    for turn in range(tries):
+        if turn % 50 == 0 or len(kinds) < 2:
+            kinds = sorted(bins, key=lambda k: (sum(k), k))
+            if len(kinds) < 2:
+                break
+        low = kinds[min(int(rng.expovariate(0.3)), len(kinds) - 1)]
+        some = [low, *(kinds[rng.randrange(len(kinds))] for _ in range(rng.randint(2, 9)))]
+        taken = Counter(some)
+        if any(bins.get(k, 0) < n for k, n in taken.items()):
+            taken = Counter({k: min(n, bins.get(k, 0)) for k, n in taken.items() if bins.get(k, 0)})
+        old = list(taken.elements())
+        if len(old) < 2:
+            continue
+        new = refill([s for k in old for s in k], capacity)
+        if (len(new), -square(new)) <= (len(old), -square(old)):
+            for k in old:
+                bins[k] -= 1
+                if not bins[k]:
+                    del bins[k]
+            for k in new:
+                bins[k] = bins.get(k, 0) + 1
+            kinds += new
+    return bins
 
 
 def fitness(bins: Packing, capacity: int) -> tuple[int, float]:
@@ -149,19 +287,27 @@ def evolve(counts: dict[int, int], capacity: int, seed: int, start: list[Packing
         shake = 0.0 if not alive and seed % 1000 == 0 else rng.uniform(0.02, 0.3)
         order = sorted(counts, key=lambda s: -s * rng.uniform(1 - shake, 1))
         alive.append(best_fit(counts, {}, capacity, order))
-    rank = lambda p: fitness(p, capacity)
-    alive.sort(key=rank)
+    ranked = sorted(((fitness(p, capacity), i, p) for i, p in enumerate(alive)), key=lambda x: x[:2])
+    made = len(ranked)
     for _ in range(generations):
-        if rank(alive[0])[0] <= bound:
+        if ranked[0][0][0] <= bound:
             break
         a, b = sorted(rng.sample(range(size), 2))
-        children = [crossover(alive[b], alive[a], counts, capacity, rng), crossover(alive[a], alive[b], counts, capacity, rng)]
-        children.append(mutate(rng.choice(children), capacity, rng))
-        alive = sorted(alive + children, key=rank)[:size]
-    return alive
-
-
-def islands(spark, counts: dict[int, int], capacity: int, *, n_islands: int = 4, size: int = 5, epochs: int = 3, generations: int = 5, seed: int = 0) -> Packing:
+        children = [crossover(ranked[b][2], ranked[a][2], counts, capacity, rng), crossover(ranked[a][2], ranked[b][2], counts, capacity, rng)]
+        children += [mutate(rng.choice(children), capacity, rng), ranked[0][2]]
+        children = [polish(p, capacity, rng, POLISH) for p in children]
+        seen = {x[0] for x in ranked}
+        for p in children:
+            made += 1
+            f = fitness(p, capacity)
+            if f not in seen:  # one of each fitness, so that an island does not fill up with one packing
+                seen.add(f)
+                ranked.append((f, made, p))
+        ranked = sorted(ranked, key=lambda x: x[:2])[:size]
+    return [p for _, _, p in ranked]
+
+
+def islands(spark, counts: dict[int, int], capacity: int, *, n_islands: int = 4, size: int = 6, epochs: int = 3, generations: int = 8, seed: int = 0) -> Packing:
     """Evolve the islands, one task each, and send each one's elite to the next island between epochs.
 
     What a task gets and gives is bounded by ``capacity`` lengths and ``size`` packings of them.
@@ -209,9 +355,11 @@ def _slots(best: Packing, capacity: int) -> dict[int, tuple]:
 def pack(parts: DataFrame, capacity: int = 1024, **how) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; parts has a length from 1 to ``capacity`` and is read several times.
 
-    All other columns pass through. Empty input gives empty output.
+    All other columns pass through, but for those whose names begin as the operators' own do; equal rows each have a
+    place. Empty input gives empty output.
     """
     spark = parts.sparkSession
+    parts = plain(parts)
     salts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # A bucket has no meaning of its own, so the rows of one length are dealt by their partition and place in it.
     bucketed = written(parts.withColumn("_ms_bucket", F.pmod(F.xxhash64(*[parts[c] for c in ("doc_id", "piece") if c in parts.columns], F.spark_partition_id()), F.lit(salts))), "parts")
@@ -250,11 +398,18 @@ def pack(parts: DataFrame, capacity: int = 1024, **how) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False, **how) -> DataFrame:
-    """Pack whole documents into sequences of ``capacity`` token ids: a row a piece, see ``pieces`` and ``pack``."""
+    """Pack whole documents into sequences of ``capacity`` token ids: a row a piece, see ``pieces`` and ``pack``.
+
+    Null and empty texts are one id; texts of any length are encoded whole and cut; an empty table gives no row.
+    """
     return pack(pieces(docs, tokenizer, capacity, with_ids), capacity, **how)
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of 1024: a row a piece, with its place.
+
+    A null or empty text is its end id alone; repeated rows each have their pieces; other columns are not read.
+    """
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

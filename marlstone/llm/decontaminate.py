@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, in_pieces, table
 
 #: Bytes of benchmark text in a block, and of document text in a shard.
 BLOCK_BYTES = 4 << 20
@@ -376,7 +376,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, ke
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_hit", "items", "contaminated", "longest", "spans"])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 4096):
             texts = batch.column(text_at).cast(pa.binary())
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             a = total = 0

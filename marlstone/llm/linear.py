@@ -1,14 +1,16 @@
 """Hashed word n-grams of whole texts, and logistic models of them fitted by follow-the-regularised-leader.
 
 Features are indicators: words and punctuation runs, pairs of them that follow each other, shapes of three in a row,
-and tenths of a few shares (upper-case words, punctuation, repeated neighbours). A batch of texts is
-cut and hashed with array operations only; a score is the sum of the weights of a text's features.
+tenths of a few shares (upper-case words, punctuation, repeated neighbours), first bytes of words, and whether a text
+has a feature more than once. A batch of texts is cut and hashed with array operations only; a score is the sum of the
+weights of a text's features.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .decontaminate import word_hashes
 
@@ -33,8 +35,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def features(texts: list[bytes | None], pairs: bool = True, shapes: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every occurrence in the texts, in order of the texts; repeats included."""
+def features(texts: list[bytes | None], pairs: bool = True, shapes: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of every occurrence in the texts; repeats included. prefixes: bytes at the start of longer words."""
     raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
     kind = _KIND[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]]).astype(np.int8)) != 0)
@@ -44,8 +46,13 @@ def features(texts: list[bytes | None], pairs: bool = True, shapes: bool = True)
     text = np.searchsorted(np.cumsum(lengths), starts, "right")
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = word_hashes(_LOWER[raw], starts, ends)
-    owners, found = [text], [_mix(h)]
+    h = word_hashes(_LOWER[raw], starts, ends, prefixes)
+    owners, found = [text], [_mix(h[0] if prefixes else h)]
+    for size, own in zip(prefixes, h[1:] if prefixes else ()):
+        longer = (ends - starts >= size) & (kind[starts] == 1)
+        owners.append(text[longer])
+        found.append(_mix(own[longer] + np.uint64(size << 40)))
+    h = h[0] if prefixes else h
     same = text[1:] == text[:-1]
     if pairs:
         owners.append(text[1:][same])
@@ -69,10 +76,21 @@ def features(texts: list[bytes | None], pairs: bool = True, shapes: bool = True)
     return np.concatenate(owners), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def indicators(texts: list[bytes | None], twice: bool = False, **kinds) -> np.ndarray:
+    """text * SIZE + feature of the different features of each text, ascending; ``twice`` adds one of its own for each
+    feature that a text has more than once."""
+    owner, f = features(texts, **kinds)
+    if not twice:
+        return np.unique(owner * SIZE + f)
+    key, n = np.unique(owner * SIZE + f, return_counts=True)
+    again = key[n > 1]
+    more = (_mix((again % SIZE).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.unique(np.concatenate([key, again // SIZE * SIZE + more]))
+
+
 def lists(texts: list[bytes | None], **kinds) -> list[np.ndarray]:
     """The different features of each text, ascending."""
-    owner, f = features(texts, **kinds)
-    key = np.unique(owner * SIZE + f)
+    key = indicators(texts, **kinds)
     cut = np.searchsorted(key, np.arange(1, len(texts)) * SIZE)
     return [x % SIZE for x in np.split(key, cut)] if len(texts) else []
 
@@ -118,18 +136,25 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def sums(texts: list[bytes | None], models: list[np.ndarray], **kinds) -> list[np.ndarray]:
-    owner, f = features(texts, **kinds)
+    """Of each model the sum of its weights over the features of each text."""
+    key = indicators(texts, **kinds)
     some = np.zeros(SIZE, bool)
     for w in models:
         some |= w[:SIZE] != 0
-    keep = some[f]
-    key = np.unique(owner[keep] * SIZE + f[keep])
+    key = key[some[key % SIZE]]
     owner, f = key // SIZE, key % SIZE
     return [np.bincount(owner, w[f], len(texts)) for w in models]
 
 
-def in_slices(texts, rows: int = 512):
-    """Byte slices of an Arrow text column, some rows at a time."""
+def in_slices(texts, rows: int = 512, size: int = 1 << 20):
+    """(place, texts in bytes) of an Arrow text column, some rows of some size at a time; a longer text goes alone."""
     texts = texts.cast(pa.binary())
-    for at in range(0, len(texts), rows):
-        yield at, texts.slice(at, rows).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > at and (held + n > size or k - at == rows):
+            yield at, texts.slice(at, k - at).to_pylist()
+            at, held = k, 0
+        held += n
+    if at < len(texts):
+        yield at, texts.slice(at).to_pylist()

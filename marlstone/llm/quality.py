@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_pieces, table
 from .linear import SIZE, follow_the_leader, in_slices, lists, squash, sums, tail
 
 #: Labelled rows that a model is fitted on, those of the smallest hashes; a documented bound, scoring covers all rows.
@@ -26,7 +26,7 @@ def fit(rows: DataFrame, label: str = "quality", **how) -> np.ndarray:
     own = rows.select("_ms_hash", "text", F.col(label).cast("int").alias("y"))
 
     def hashed(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             for at, texts in in_slices(batch.column(1)):
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists(texts), pa.list_(pa.int64())), part.column(2)], ["h", "f", "y"])
@@ -52,7 +52,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches):
         w = model.value
-        for batch in batches:
+        for batch in in_pieces(batches):
             out = np.zeros(batch.num_rows)
             for at, texts in in_slices(batch.column(1)):
                 out[at : at + len(texts)] = squash(sums(texts, [w])[0] + tail(w, None))
@@ -67,6 +67,11 @@ def held_out(doc_id="doc_id"):
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, learned only from labelled rows that are not held out.
+
+    Null and empty texts have the score of the empty text; without labels all scores are one half; repeated rows are
+    each scored; other columns are not read.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = fit(sampled(docs, labels.where(~held_out()), ["quality"]))
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

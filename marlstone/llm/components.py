@@ -9,7 +9,7 @@ from .common import dropped, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the edges; root is the smallest node reachable.
+    """(node, root) of every node of the edges, as a written table; root is the smallest node reachable.
 
     Large-star and small-star in turn: every node's neighbours are hung on the smallest of them, first the larger ones,
     then the smaller ones, until nothing moves. Each half is a minimum by node, combined before it is shuffled, and a
@@ -39,7 +39,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    dropped(now)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

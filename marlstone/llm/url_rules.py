@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, dropped, table, written
 from .components import components
 
 #: (verdict, host, path), as the query of the shared tables states them.
@@ -73,6 +73,22 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     return found.select(key_of(F.col("url")).alias("a"), key_of(F.col("to")).alias("b")).where("a is not null and b is not null and a != b")
 
 
+#: Query parameters that say where a visitor came from, and subdomains of the same site.
+TRACKING = r"(?:utm_[a-z]+|ref|gclid|fbclid|source|campaign)"
+SAME_SITE = r"(?:www|m|mobile|amp)"
+
+
+def usual_redirects(pages: DataFrame) -> DataFrame:
+    """(url, to) of the pages that sites usually redirect: from hosts for browsers or telephones to the site itself
+    (only where two names remain), and from URLs with tracking parameters to those without. Others give no row."""
+    url = F.col("url")
+    bare = F.regexp_replace(url, rf"(?s)^([^:/?#]*://){SAME_SITE}\.([^/?#.]+\.[^/?#]+)", "$1$2")
+    clean = F.regexp_replace(F.regexp_replace(bare, r"(?s)#.*$", ""), rf"(?<=[?&]){TRACKING}=[^&#]*&?", "")
+    to = F.regexp_replace(clean, r"[?&]$", "")
+    known = pages.where(url.contains("://")).select("url", to.alias("to"))
+    return known.where(key_of(F.col("url")) != key_of(F.col("to"))).distinct()
+
+
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page; ``redirects`` adds edges (url, to) known from crawling.
 
@@ -86,7 +102,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     if redirects is not None:
         more = redirects.select(key_of(F.col("url")).alias("a"), key_of(F.col("to")).alias("b"))
         edges = edges.unionByName(more.where("a is not null and b is not null and a != b"))
-    tree = written(components(written(edges, "aliases")), "tree")
+    tree = components(edges)
     fits = rule_for(ascii_lower(F.regexp_extract("node", r"(?s)^([^/?#]*)", 1)), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1), rules)
     decided = tree.select("root", fits.alias("r")).groupBy("root").agg(F.bool_or(F.col("r.verdict") == "allow").alias("allowed"), F.bool_or(F.col("r.verdict") == "block").alias("blocked"))
     passed = tree.join(decided, "root").select("node", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").alias("alias"))
@@ -97,7 +113,14 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
 
 
 def op8_redirect_equivalence(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    """Verdicts on all pages by the rules, passed along canonical links, immediate redirects and usual redirects.
+
+    Usual redirects join pages of one path and site; the rules tell none of these apart, so that they change no verdict
+    of these tables' rules, which is why the SQL does without them. Null urls have no rule and are allowed; repeated
+    rows are each judged; other columns are not read.
+    """
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, redirects=usual_redirects(pages))
 
 
 SQL = r"""

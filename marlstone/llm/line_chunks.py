@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, in_pieces, plain, table, written
 
 #: Words that a passage needs to be removed.
 HEAVY = 24
@@ -84,7 +84,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _occurrences(docs: DataFrame, heavy: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = ([], [], [], [], [])
             for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 lines = text.as_py().split(b"\n")
@@ -106,7 +106,7 @@ def _apply(docs: DataFrame, marks: DataFrame) -> DataFrame:
     unit = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("bytes", pa.binary())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts, marked, removed = [], [], []
             for text, own in zip(batch.column(at_text).cast(pa.binary()), batch.column(at_marks)):
                 own = own.as_py()
@@ -142,10 +142,11 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """docs without the passages that occurred before, and ``n_removed_lines``.
 
     The first occurrence, by doc_id (null first), text hash and place, stays; a passage repeated within a text goes as
-    well. Texts that lose all lines become empty, rows never go, null stays null. Rows equal in doc_id and text count
-    as one document. Other columns pass through.
+    well. Texts that lose all lines become empty, rows never go, null and empty texts stay as they are. Rows equal in
+    doc_id and text count as one document and share its fate. Texts of any length are read whole. Other columns pass
+    through, but for those whose names begin as the operators' own do.
     """
-    keyed = _keyed(docs.drop("n_removed_lines"))
+    keyed = _keyed(plain(docs).drop("n_removed_lines"))
     found = written(_occurrences(keyed, heavy), "units")
     # hashes are counted before anything is shuffled; most occur once
     place = F.struct("_ms_id", "_ms_text", "a", "b")
@@ -165,9 +166,16 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         own = exploded.join(unlike, "h", "left_semi").select("_ms_id", "_ms_text", "a", "b", "h", "bytes").distinct()
         firsts = own.groupBy("h", "bytes").agg(F.min(place).alias("first"))
         exact = own.join(firsts, ["h", "bytes"]).select("_ms_id", "_ms_text", "a", "b", "h", _cut().alias("cut"))
-        out = written(_apply(keyed, marks.join(unlike, "h", "left_anti").unionByName(exact)), "lines")
+        first, out = out, written(_apply(keyed, marks.join(unlike, "h", "left_anti").unionByName(exact)), "lines")
+        dropped(first)
+    for done in (found, again, marks, unlike):
+        dropped(done)
     return out.withColumnRenamed("_ms_removed", "n_removed_lines").drop("_ms_id", "_ms_text", "_ms_units")
 
 
 def op6_line_chunks(spark, sf_dir: str) -> DataFrame:
+    """Every document without the passages that occurred before, and how many lines went.
+
+    Null and empty texts stay so; repeated rows share their fate; other columns are not returned.
+    """
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")

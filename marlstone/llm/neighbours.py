@@ -216,4 +216,8 @@ def _block(ids, rows, qid, q, books, weight, k, rerank) -> pa.RecordBatch:
 
 
 def op5_anisotropic_search(spark, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others, by cosine.
+
+    Null, zero and non-finite vectors take no part; an empty table gives an empty one; other columns are not read.
+    """
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prefix_sums, table, written
-
+from .common import plain, prefix_sums, table, written
 
 #: Buckets whose offsets are sent to all executors, 16 bytes each.
 BROADCAST_BUCKETS = 1 << 20
@@ -32,10 +31,12 @@ def two_pass_shuffle(docs: DataFrame, n_shards: int, *, seed: int = 0, bucket_by
 
     The law is ``rows``: counts of shards differ by one at most, and slots are gapless from 0. The hash is of the seed,
     the document and the partition that it was read from, so that equal rows, however many, spread as well; the order
-    depends on the seed and on how the input is split. Input columns named shard or slot are replaced.
+    depends on the seed and on how the input is split. Input columns named shard or slot are replaced. Null and empty
+    texts are rows like others; a text of any length goes whole, so that its bucket may be larger; an empty table gives
+    an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot")
+    docs = plain(docs).drop("shard", "slot")
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.spark_partition_id())
@@ -73,6 +74,7 @@ def write_shards(shuffled: DataFrame, path: str) -> None:
 
 
 def op10_two_pass_shuffle(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law ``rows``. A null text has size 1 and the checksum of no bytes."""
     done = two_pass_shuffle(table(spark, sf_dir, "documents"), 8, seed=17)
     text = F.coalesce("text", F.lit(""))
     return done.select(

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, in_pieces, table, written
 from .components import components
 
 #: Fingerprints below one block that a task traverses alone, and the levels that a larger block is dealt out by.
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of whole texts; A-Z lower-cased, words split at ASCII white space."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = batch.column(1).cast(pa.binary())
             fps = pa.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
@@ -284,19 +284,25 @@ def _hot_below(dealt, budget, bits, width, rest, spanning):
 def simhash_components(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
-    Equal fingerprints are one node. Null, empty and blank texts have fingerprint zero. component_id is the smallest
-    doc_id reachable, null where all of these are null. Columns other than doc_id and text are not read.
+    Equal fingerprints are one node. Null, empty and blank texts have fingerprint zero; texts of any length are read
+    whole. component_id is the smallest doc_id reachable, null where all of these are null; repeated rows each have
+    it. Columns other than doc_id and text are not read. An empty table gives an empty one.
     """
     own = written(fingerprints(docs, words), "fps")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes, "nodes")
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = links(nodes.select(F.lit(0).cast("int").alias("view"), "fp", F.col("fp").alias("label")), budget)
     tree = components(found)
     grouped = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
+    named = written(grouped.join(least, "root").select("fp", "component_id"), "named")
+    dropped(nodes)
+    dropped(tree)
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_components(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint of 3-word shingles and component of every document, linked at three differing bits or fewer.
+
+    Null, empty and blank texts have fingerprint zero; repeated rows share theirs; other columns are not read.
+    """
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, table, written
+from .common import in_pieces, prefix_sums, table, written
 from .tokens import encoder
 
 #: Fixed values of Simple-8b: (values, bits) of selectors 1 to 15.
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaced: bool = False) -> DataF
             return pa.RecordBatch.from_arrays(row, names)
 
         end = struct.pack("<I", END)
-        for batch in batches:
+        for batch in in_pieces(batches, 1024):
             doc, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for at in range(0, len(doc), 256):
                 for d, x in zip(doc[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist())):

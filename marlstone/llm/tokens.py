@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 
 #: Segments that a worker remembers before the older half may go, and ids of these for each.
-MEMORY, IDS_EACH = 500_000, 8
+MEMORY, IDS_EACH = 200_000, 8
 #: Bytes of text that are cut at a time. A longer text is cut where a word of ASCII letters follows another.
 GROUP = 1 << 20
 _BORDER = re.compile(rb"[A-Za-z](?= [A-Za-z])")

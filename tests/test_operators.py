@@ -69,11 +69,11 @@ def test_clean_ohlcv_repairs(spark):
 def test_backtest_fold(spark):
     rows = [("A", D + datetime.timedelta(i), p, en, ex) for i, (p, en, ex) in enumerate([(10.0, True, False), (12.0, False, False), (11.0, False, True), (9.0, False, False)])]
     df = spark.createDataFrame(rows, "ticker string, date date, close double, en boolean, ex boolean")
-    got = backtest.equity(df, ["ticker"], cash=1000.0).collect()[0]
+    got = backtest.equity(df, ["ticker"], cash=1000.0).orderBy("date").collect()  # a row a bar
     shares = int(1000 / (10 * 1.001 * 1.001))
     cash = 1000 - shares * 10 * 1.001 * 1.001
     end = cash + shares * 11 * 0.999 * 0.999
-    assert [round(v, 6) for v in got.curve] == [round(v, 6) for v in (cash + shares * 10, cash + shares * 12, end, end)]
+    assert [round(r.v, 6) for r in got] == [round(v, 6) for v in (cash + shares * 10, cash + shares * 12, end, end)]
     done = backtest.summarise(backtest.equity(df, ["ticker"], cash=1000.0), ["ticker"], 1000.0).collect()[0]
     assert done.trade_count == 1 and done.win_rate == 1.0
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.rolling import series
 from marlstone.functions.safe import sdiv
 
+from .folds import fold
+
 YEAR = 252**0.5
 RESULTS = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "trade_count")
 
@@ -21,13 +25,38 @@ def momentum_signals(df: DataFrame, entry: float = 0.05, exit_: float = -0.05, o
     return df.withColumns({"en": F.coalesce(up, F.lit(False)), "ex": F.coalesce(down, F.lit(False))})
 
 
-def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: float = 0.001, slippage: float = 0.001, impact: bool = False) -> DataFrame:
+def _trader(fees: float, slippage: float, impact: bool):
+    """A step of the fold: state (cash, shares, what these cost); gives a trade (date, cash, shares, pnl) or None."""
+
+    def cost(order, amount):
+        return 0.1 * math.sqrt(order / amount) if impact and amount and amount > 0 and 0 < order and order >= 0.01 * amount else 0.0
+
+    def step(state, row):
+        cash, shares, paid = state
+        date, close, en, ex = row[:4]
+        amount = row[4] if impact else None
+        if en and shares == 0:
+            ask = close * (1 + slippage + cost(cash, amount)) * (1 + fees)
+            many = cash / ask if ask else 0.0
+            n = math.trunc(many) if math.isfinite(many) else 0
+            if not n:
+                return state, None
+            return (cash - n * ask, n, n * ask), (date, cash - n * ask, n, None)
+        if ex and shares > 0:
+            got = shares * (close * (1 - slippage - cost(shares * close, amount)) * (1 - fees))
+            return (cash + got, 0, 0.0), (date, cash + got, 0, got - paid)
+        return state, None
+
+    return step
+
+
+def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: float = 0.001, slippage: float = 0.001, impact: bool = False, cuts: list | None = None) -> DataFrame:
     """(keys, date, v, pnl): what is held at each bar, and what a sale at it earned.
 
     All cash goes in whole shares at an entry (debts too, as shares owed, which no exit sells), all out at an exit, an
-    entry looked at first. With ``impact`` large orders pay 0.1 sqrt(order / amount) more. The position can only change at bars with a signal, and of exits in a
-    row only at the first; the ordered fold sees these alone, and its state is three numbers and the trades. Every bar
-    then takes the position of the last trade up to it.
+    entry looked at first. With ``impact`` large orders pay 0.1 sqrt(order / amount) more. The position can only change
+    at bars with a signal, and of exits in a row only at the first; the ordered fold sees these alone, in segments if
+    there are ``cuts`` (dates). Every bar then takes the position of the last trade up to it.
     """
     cols = ["date", "close", "en", "ex"] + (["amount"] if impact else [])
     bars = df.where("close is not null").select(*keys, *cols)
@@ -36,30 +65,9 @@ def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: floa
     marked = bars.withColumn("_k", kind)
     before = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("_p", before)
-    moves = marked.where((F.col("_k") != 2) | (F.coalesce("_p", F.lit(0)) != 2))
-    rows = F.array_sort(F.collect_list(F.struct(*cols)))
-    trade = "array<struct<date:date,cash:double,shares:bigint,pnl:double>>"
-    zero = F.struct(F.lit(cash).alias("cash"), F.lit(0).cast("long").alias("shares"), F.lit(0.0).alias("paid"), F.array().cast(trade).alias("trades"))
-
-    def cost(order, r):
-        if not impact:
-            return F.lit(0.0)
-        return F.when((r["amount"] > 0) & (order > 0) & (order >= 0.01 * r["amount"]), 0.1 * F.sqrt(order / r["amount"])).otherwise(0.0)
-
-    def step(s, r):
-        ask = r["close"] * (1 + F.lit(slippage) + cost(s["cash"], r)) * (1 + F.lit(fees))
-        bid = r["close"] * (1 - F.lit(slippage) - cost(s["shares"] * r["close"], r)) * (1 - F.lit(fees))
-        many = F.coalesce(sdiv(s["cash"], ask), F.lit(0.0))
-        shares = F.when(many < 0, F.ceil(many)).otherwise(F.floor(many)).cast("long")
-        buy = r["en"] & (s["shares"] == 0)
-        sell = ~buy & r["ex"] & (s["shares"] > 0)
-        got = s["shares"] * bid
-        bought = F.struct((s["cash"] - shares * ask).alias("cash"), shares.alias("shares"), (shares * ask).alias("paid"), F.concat(s["trades"], F.array(F.struct(r["date"].alias("date"), (s["cash"] - shares * ask).alias("cash"), shares.alias("shares"), F.lit(None).cast("double").alias("pnl")))).alias("trades"))
-        sold = F.struct((s["cash"] + got).alias("cash"), F.lit(0).cast("long").alias("shares"), F.lit(0.0).alias("paid"), F.concat(s["trades"], F.array(F.struct(r["date"].alias("date"), (s["cash"] + got).alias("cash"), F.lit(0).cast("long").alias("shares"), (got - s["paid"]).alias("pnl")))).alias("trades"))
-        return F.when(buy & (shares != 0), bought).when(sell, sold).otherwise(s)
-
-    folded = moves.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.explode(F.aggregate("rows", zero, step)["trades"]).alias("t"))
-    held = bars.join(folded.select(*keys, F.col("t.date").alias("date"), "t"), [*keys, "date"], "left")
+    moves = marked.where((F.col("_k") != 2) | (F.coalesce("_p", F.lit(0)) != 2)).select(*keys, *cols)
+    trades = fold(moves, keys, ["date"], "date date, cash double, shares bigint, pnl double", lambda: (cash, 0, 0.0), _trader(fees, slippage, impact), cuts)
+    held = bars.join(trades.select(*keys, "date", F.struct("cash", "shares", "pnl").alias("t")), [*keys, "date"], "left")
     last = F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     v = F.coalesce(last["cash"] + last["shares"] * F.col("close"), F.lit(cash))
     return held.select(*keys, "date", v.alias("v"), F.col("t.pnl").alias("pnl"))

@@ -1,4 +1,8 @@
-"""Repair of bars and of numeric columns. ``by`` keeps statistics within a group; without it they span the frame."""
+"""Repair of bars and of numeric columns. ``by`` keeps statistics within a group; without it they span the frame.
+
+Quantiles of a whole frame are found by exact_quantiles(), which reads it several times when the frame is built; NaN and
+infinities take no part in them.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.safe import clamp, finite, sdiv
 
+from .quantiles import exact_quantiles
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -35,6 +41,9 @@ def fill_missing(df: DataFrame, columns: list[str], method: str = "median", valu
     """Nulls take the median (also for an unknown method), the mean or a constant."""
     if method == "constant" and value is not None:
         return df.fillna({c: value for c in columns})
+    if method != "mean" and not by:
+        medians = exact_quantiles(df, {c: [0.5] for c in columns})
+        return df.withColumns({c: F.coalesce(c, F.lit(medians[c, 0.5])) for c in columns})
     stat = F.avg if method == "mean" else lambda c: F.percentile(c, 0.5)
     own = group_stats(df, by, **{f"_m_{c}": stat(c) for c in columns})
     return own.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).select(*df.columns)
@@ -42,11 +51,17 @@ def fill_missing(df: DataFrame, columns: list[str], method: str = "median", valu
 
 def winsorize(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, by: list[str] | None = None) -> DataFrame:
     """Values beyond the quantiles take these; columns of under ten different values stay."""
+    held = lambda c, lo, hi: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), lo), hi))
+    if not by:
+        different = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first()
+        wide = [c for c in columns if different[c] >= 10]
+        q = exact_quantiles(df, {c: [lower, upper] for c in wide}) if wide else {}
+        return df.withColumns({c: held(c, F.lit(q[c, lower]), F.lit(q[c, upper])) for c in wide})
     stats = {}
     for c in columns:
         stats |= {f"_q_{c}": F.percentile(c, F.array(F.lit(lower), F.lit(upper))), f"_n_{c}": F.countDistinct(c)}
     own = group_stats(df, by, **stats)
-    out = {c: F.when(F.col(f"_n_{c}") < 10, F.col(c)).when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])) for c in columns}
+    out = {c: F.when(F.col(f"_n_{c}") < 10, F.col(c)).otherwise(held(c, F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1])) for c in columns}
     return own.withColumns(out).select(*df.columns)
 
 
@@ -55,9 +70,13 @@ def outliers(df: DataFrame, column: str, method: str = "zscore", threshold: floa
         own = group_stats(df, by, _m=F.avg(column), _s=F.stddev_samp(column))
         flag = F.abs(sdiv(F.col(column) - F.col("_m"), "_s")) > threshold
     else:
-        own = group_stats(df, by, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))))
-        spread = (F.col("_q")[1] - F.col("_q")[0]) * threshold
-        flag = (F.col(column) < F.col("_q")[0] - spread) | (F.col(column) > F.col("_q")[1] + spread)
+        if by:
+            own, q = group_stats(df, by, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))), F.col("_q")
+        else:
+            found = exact_quantiles(df, {column: [0.25, 0.75]})
+            own, q = df, [F.lit(found[column, p]).cast("double") for p in (0.25, 0.75)]
+        spread = (q[1] - q[0]) * threshold
+        flag = (F.col(column) < q[0] - spread) | (F.col(column) > q[1] + spread)
     return own.select(*df.columns, F.coalesce(flag, F.lit(False)).alias(out))
 
 
@@ -78,8 +97,12 @@ def clip_by_range(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
 
 def repair_pe(df: DataFrame, column: str = "pe_ttm", by: list[str] | None = None) -> DataFrame:
     """Negative ratios take the median of the positive ones; all are held in [0, 200]."""
-    own = group_stats(df, by, _m=F.percentile(F.when(F.col(column) > 0, F.col(column)), 0.5))
-    fixed = F.when(F.col(column) < 0, F.coalesce("_m", F.col(column))).otherwise(F.col(column))
+    positive = F.when(F.col(column) > 0, F.col(column))
+    if by:
+        own, median = group_stats(df, by, _m=F.percentile(positive, 0.5)), F.col("_m")
+    else:
+        own, median = df, F.lit(exact_quantiles(df.select(positive.alias("p")), {"p": [0.5]})["p", 0.5]).cast("double")
+    fixed = F.when(F.col(column) < 0, F.coalesce(median, F.col(column))).otherwise(F.col(column))
     return own.withColumn(column, clamp(fixed, 0, 200)).select(*df.columns)
 
 

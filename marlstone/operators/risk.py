@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,19 +91,73 @@ def decay(quality: DataFrame, win: float = 0.40, sharpe: float = 0.0, ic: float
     return j.withColumn("level", F.when(F.col("weak") | F.col("flipped"), "critical").when(F.col("low_ic") | F.col("fading"), "warning").otherwise("ok"))
 
 
-def covariance(returns: DataFrame, scale: float = 252.0) -> DataFrame:
-    """(a, b, cov) of the returns (ticker, date, r) of any two tickers on the days that both have, a up to b."""
-    r = returns.where("r is not null").select("date", "ticker", "r")
-    both = r.select("date", F.col("ticker").alias("a"), F.col("r").alias("x")).join(r.select("date", F.col("ticker").alias("b"), F.col("r").alias("y")), "date").where("a <= b")
-    return both.groupBy("a", "b").agg((F.covar_samp("x", "y") * scale).alias("cov"))
+#: Tickers and days of a tile, about.
+TICKERS, DAYS = 256, 512
+
+
+def _tile(got: pa.Table) -> pa.Table:
+    """Sums over the days of a tile for each two tickers of its blocks: both there, x, y and their product."""
+    first, ticker, day, r = (got.column(c) for c in ("first", "ticker", "day", "r"))
+    days, at = np.unique(day.to_numpy(), return_inverse=True)
+    first, r = first.to_numpy(zero_copy_only=False), r.to_numpy()
+    names = ticker.combine_chunks().dictionary_encode()
+    code, words = names.indices.to_numpy(), names.dictionary.to_pylist()
+
+    def dense(rows):
+        own, column = np.unique(code[rows], return_inverse=True)
+        x, known = np.zeros((len(days), len(own))), np.zeros((len(days), len(own)))
+        x[at[rows], column] = r[rows]
+        known[at[rows], column] = 1.0
+        return [words[k] for k in own], x, known
+
+    same = got.column("i")[0].as_py() == got.column("j")[0].as_py()
+    a, xa, ka = dense(np.flatnonzero(first))
+    b, xb, kb = (a, xa, ka) if same else dense(np.flatnonzero(~first))
+    n, sx, sy, sxy = ka.T @ kb, xa.T @ kb, ka.T @ xb, xa.T @ xb
+    i, j = np.nonzero(n)
+    order = np.array([a[p] <= b[q] for p, q in zip(i, j)], bool)
+    if same:
+        i, j, order = i[order], j[order], order[order]
+    lo = np.where(order, sx[i, j], sy[i, j])
+    hi = np.where(order, sy[i, j], sx[i, j])
+    left, right = [a[p] for p in i], [b[q] for q in j]
+    pairs = [(p, q) if p <= q else (q, p) for p, q in zip(left, right)]
+    return pa.table({"a": pa.array([p for p, _ in pairs], pa.string()), "b": pa.array([q for _, q in pairs], pa.string()), "n": n[i, j].astype(np.int64), "sx": lo, "sy": hi, "sxy": sxy[i, j]})
+
+
+def covariance(returns: DataFrame, scale: float = 252.0, tickers: int = TICKERS, days: int = DAYS) -> DataFrame:
+    """(a, b, cov) of the returns (ticker, date, r) of any two tickers on the days that both have, a up to b.
+
+    A ticker has one row a day; null tickers, days and returns are left out, and null is the covariance of tickers with
+    one day in common. Tickers are dealt into blocks and days into spans. Each two blocks and span are a tile, two dense
+    matrices and the masks of what is known, whose products are all that leaves a task: rows grow with pairs of tickers
+    and with spans, not with days. Returns are taken relative to their ticker's mean, for the sake of accuracy.
+    """
+    r = returns.where("ticker is not null and date is not null and r is not null").select("ticker", "date", "r")
+    means = r.groupBy("ticker").agg(F.avg("r").alias("_mean"))
+    blocks = max(1, -(-(means.count()) // tickers))
+    own = r.join(means, "ticker").select("ticker", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), (F.col("r") - F.col("_mean")).alias("r"), F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    dealt = own.select("*", F.floor(F.col("day") / days).alias("span"), other).select("ticker", "day", "r", "span", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") <= F.col("o")).alias("first"))
+    sums = dealt.groupBy("i", "j", "span").applyInArrow(_tile, "a string, b string, n long, sx double, sy double, sxy double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    return total.select("a", "b", (sdiv(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1) * scale).alias("cov"))
+
+
+def portfolio_variance(returns: DataFrame, scale: float = 252.0) -> DataFrame:
+    """(v): the sum of all covariances. Where no return is missing it is the variance of the days' sums, and no matrix."""
+    r = returns.where("r is not null")
+    shape = r.agg(F.count("*").alias("n"), F.count_distinct("ticker").alias("t"), F.count_distinct("date").alias("d")).first()
+    if shape.n == shape.t * shape.d:
+        return r.groupBy("date").agg(F.sum("r").alias("s")).agg((F.var_samp("s") * scale).alias("v"))
+    return covariance(returns, scale).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(2 * F.col("cov"))).alias("v"))
 
 
 def volatility_target(returns: DataFrame, target: float = 0.15) -> DataFrame:
     """(ticker, weight): equal weights, scaled down (never up) to the target volatility of the portfolio."""
     names = returns.select("ticker").distinct()
     n = names.agg(F.count("*").alias("n"))
-    total = covariance(returns).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(2 * F.col("cov"))).alias("v"))
-    j = names.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total))  # one row each
+    j = names.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(portfolio_variance(returns)))  # one row each
     sigma = F.sqrt(F.greatest(F.col("v"), F.lit(0.0))) / F.col("n")
     return j.select("ticker", (F.least(target / (sigma + 1e-8), F.lit(1.0)) / F.col("n")).alias("weight"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.safe import sdiv
 
+from .folds import fold
+
 RATINGS = {"Buy": 1.0, "Overweight": 0.5, "Hold": 0.0, "Underweight": -0.5, "Sell": -1.0}
 
 
@@ -144,16 +146,16 @@ def settle(regimes: DataFrame, strategies: dict[str, tuple[str, float]], cooldow
 
     A change within ``cooldown`` days of the last day with a regime is put off; days of little confidence have none.
     """
-    rows = F.array_sort(F.collect_list(F.struct("day", "regime")))
-    zero = F.struct(F.lit(None).cast("string").alias("now"), F.lit(None).cast("date").alias("at"), F.array().cast("array<struct<day:date,regime:string>>").alias("out"))
 
-    def step(s, r):
-        held = s["now"].isNotNull() & (s["now"] != r["regime"]) & (F.datediff(r["day"], s["at"]) < cooldown)
-        now = F.when(held, s["now"]).otherwise(r["regime"])
-        return F.struct(now.alias("now"), r["day"].alias("at"), F.concat(s["out"], F.array(F.struct(r["day"].alias("day"), now.alias("regime")))).alias("out"))
+    def step(state, row):
+        now, at = state
+        day, regime = row
+        if now is None or regime is None or now == regime or (day - at).days >= cooldown:
+            now = regime
+        return (now, day), (day, now)
 
-    own = regimes.where(F.col("confidence") >= least).groupBy("key").agg(rows.alias("rows"))
-    out = own.select("key", F.explode(F.aggregate("rows", zero, step)["out"]).alias("o")).select("key", "o.day", "o.regime")
+    own = regimes.where(F.col("confidence") >= least).select("key", "day", "regime")
+    out = fold(own, ["key"], ["day", "regime"], "day date, regime string", lambda: (None, None), step)
     name = F.create_map(*[F.lit(x) for k, v in strategies.items() for x in (k, v[0])])
     weight = F.create_map(*[F.lit(x) for k, v in strategies.items() for x in (k, float(v[1]))])
     return out.withColumns({"strategy": F.try_element_at(name, F.col("regime")), "weight": F.coalesce(F.try_element_at(weight, F.col("regime")), F.lit(0.0))})

@@ -1 +1 @@
-from . import cleaning, desk, factors, library, news, reports, research, streams, trading  # noqa: F401
+from . import cleaning, desk, expressions, factors, library, news, reports, research, streams, trading  # noqa: F401

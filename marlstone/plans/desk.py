@@ -254,10 +254,10 @@ def target_weights(spark, sf_dir):
     return risk.long_only(own).withColumn("weight", R("weight"))
 
 
-@query("cash_deployment", "SELECT c_custkey, CASE WHEN r < 0.05 THEN 'hold' WHEN r > 0.3 THEN 'repo' ELSE 'mmf' END AS action, round(CASE WHEN r < 0.05 THEN 0 WHEN r > 0.3 THEN r * 0.8 ELSE r * 0.5 END, 6) AS ratio FROM (SELECT c_custkey, greatest(c_acctbal, 0) / 10000 AS r FROM customer)")
+@query("cash_deployment", "SELECT c_custkey, CASE WHEN r < 0.05 THEN 'hold' WHEN r > 0.3 THEN 'repo' ELSE 'mmf' END AS action, CASE WHEN r < 0.05 THEN r * 0.0::DOUBLE WHEN r > 0.3 THEN r * 0.8::DOUBLE ELSE r * 0.5::DOUBLE END AS ratio FROM (SELECT c_custkey, greatest(c_acctbal, 0) / 10000 AS r FROM customer)")
 def cash_deployment(spark, sf_dir):
     act = risk.deployment(F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 10000)
-    return table(spark, sf_dir, "customer").select("c_custkey", act.alias("a")).select("c_custkey", "a.action", R("a.ratio").alias("ratio"))
+    return table(spark, sf_dir, "customer").select("c_custkey", act.alias("a")).select("c_custkey", "a.action", "a.ratio")
 
 
 _READ = "rd AS (SELECT CASE event_type WHEN 'view' THEN 'other' WHEN 'click' THEN 'news' ELSE 'social' END AS source, CASE event_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'neutral' END AS sentiment, CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS confidence, (event_id % 11) / 10.0::DOUBLE AS bull_ratio, (event_id % 7) / 7.0::DOUBLE AS bear_ratio, CASE WHEN user_id % 5 > 0 THEN ['T' || CAST(user_id % 20 AS VARCHAR), 'T' || CAST(user_id % 7 AS VARCHAR)] ELSE [] END AS tickers FROM events)"

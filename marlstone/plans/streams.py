@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import sketches
 from marlstone.registry import query
 from marlstone.sources.loads import past_marks
 from marlstone.sources.messages import first_poll
@@ -42,3 +43,22 @@ def load_increments(spark, sf_dir):
     stored = own.where((F.col("date") <= F.date_add(F.lit(datetime.date(1996, 1, 1)), no * 20)) & (no % 4 != 0))
     marks = stored.groupBy("ticker").agg(F.max("date").alias("last"))
     return past_marks(own, marks, target=TARGET).select("ticker", "date", R("close").alias("close"))
+
+
+_HOUR = 'date_trunc(\'hour\', ts)'
+
+
+@query("active_users_sketch", f"WITH h AS (SELECT DISTINCT {_HOUR} AS hour, user_id FROM events), c AS (SELECT {_HOUR} AS hour, count(*) AS n FROM events GROUP BY 1), w AS (SELECT hour + INTERVAL 1 HOUR * k AS end_, user_id FROM h, (SELECT unnest(range(1, 25)) AS k)), x AS (SELECT hour + INTERVAL 1 HOUR * k AS end_, n FROM c, (SELECT unnest(range(1, 25)) AS k)), u AS (SELECT end_, count(DISTINCT user_id) AS users FROM w GROUP BY 1), m AS (SELECT end_, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1) SELECT strftime(u.end_, '%Y-%m-%d %H') AS hour, n, users, true AS near FROM u JOIN m ON m.end_ = u.end_")
+def active_users_sketch(spark, sf_dir):
+    """Users of the last day at every hour: events counted, users exactly, and whether the sketches are near that.
+
+    Near is within four standard errors, and one user where there are few.
+    """
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = sketches.trailing(sketches.hourly(e))
+    step = F.expr("interval 1 hour")
+    hour = F.date_trunc("hour", "ts")
+    exact = e.select(hour.alias("hour"), "user_id").distinct().select("user_id", F.explode(F.sequence(F.col("hour") + step, F.col("hour") + F.expr("interval 24 hour"), step)).alias("end"))
+    exact = exact.groupBy("end").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("n_users") - F.col("users")) <= F.greatest(F.lit(1.0), 4 * sketches.error() * F.col("users"))
+    return found.join(exact, "end").select(F.date_format("end", "yyyy-MM-dd HH").alias("hour"), "n", "users", near.alias("near"))

@@ -3,13 +3,16 @@
 One fingerprint of few differing bits finds only the nearest copies. Here each text has many short fingerprints
 (views) of its five-word shingles; the binary trie joins each view with itself, and what it finds is compared by
 bounds first and by the shingles themselves in the end, so that a link means a Jaccard similarity of at least 0.8.
-Texts of equal words are one node from the start. Nodes that share a view are compared with the smallest of them
-first; the trie then skips pairs that are connected already, so that a group of n near-copies costs no n x n rows.
+Texts of equal words are one node from the start.
 
-Two texts of a similarity of just 0.8 differ in a bit with a chance of 0.15, so that a view shows them with 0.146 and
-40 views miss 2 in 1000 such pairs; the nearer they are, the fewer. Signs of few shingles vary more. Short texts are
-therefore also compared exactly: in any order of shingles that all texts share, two similar texts have one in common
-among their first few (prefix), so that all pairs of short nodes with one are compared unless connected.
+Comparisons go from the cheapest on, and each skips what is connected by then, so that a group of n near-copies costs
+no n x n rows: nodes of an equal view with the smallest of them; then one pair of each two groups that a task finds near
+each other; then every pair of near views whose nodes are not connected yet, without exception.
+
+Two texts of a similarity of just 0.8 differ in a bit with a chance of 0.15, so that a view shows them with 0.19 and
+30 views miss 2 in 1000 such pairs; the nearer they are, the fewer. Signs of few shingles vary more, so short texts are
+compared exactly as well: in any order of shingles that all texts share, two similar texts have one in common among
+their first few (prefix), so that all pairs of short nodes with one are compared unless connected.
 """
 
 from __future__ import annotations
@@ -24,9 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, dropped, in_pieces, written
 from .components import components
-from .simhash import _LANES, links
-
-VIEWS, BITS, BUDGET = 40, 30, 2
+from .simhash import _LANES, DEEPER, HOT, trie_pairs
+
+VIEWS, BITS, BUDGET = 30, 36, 3
+#: Two fingerprints that link agree in one of these blocks at least; the trie of a rotation starts below it.
+BLOCKS = BUDGET + 1
+WIDTH = BITS // BLOCKS
+REST = BITS - WIDTH
+#: Pairs that a task makes at once.
+AT_ONCE = 1 << 20
+#: Texts to be compared whose ids are sent to all executors, 8 bytes each; with more, the join is left to Spark.
+BROADCAST_IDS = 1 << 20
 #: Texts of fewer shingles are compared exactly, and so with those of up to a quarter more, which could be similar.
 SHORT = 100
 #: Texts, about, whose shingles are counted to put common ones last in the order, and shingles so put. Any order finds
@@ -34,7 +45,7 @@ SHORT = 100
 SAMPLE, COMMON = 20_000, 1 << 18
 #: Longs in a text's parity marks. Marks of two texts differ in no more bits than their sets in shingles.
 MARKS = 16
-_SEEDS = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(VIEWS // 2)], np.uint64)
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(VIEWS)], np.uint64)
 _WEIGHTS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
@@ -66,7 +77,7 @@ def views(shingles: np.ndarray) -> list[int]:
             lanes = np.add.reduce((m >> np.uint64(k)) & _LANES, axis=1)
             counts[:, :, k] += lanes.view(np.uint8).reshape(len(_SEEDS), 8)
     set_ = (2 * counts.reshape(len(_SEEDS), 64) > n).astype(np.uint64)
-    return [int(x) for x in np.concatenate([set_[:, :BITS] @ _WEIGHTS, set_[:, 32 : 32 + BITS] @ _WEIGHTS])]
+    return [int(x) for x in set_[:, :BITS] @ _WEIGHTS]
 
 
 def _common(docs: DataFrame, words: int, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,44 +133,205 @@ def _nodes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 first = prefix(own, tokens, times, similarity).view(np.int64) if len(own) < most else []
                 for column, value in zip(rows, (doc, node - (1 << 64) if node >> 63 else node, len(own), views(own), parity(own), first)):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "node", "n", "sig", "mark", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "key", "n", "sig", "mark", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n int, sig array<int>, mark array<long>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n int, sig array<long>, mark array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the nodes wanted; hashes are made again, as most texts are never compared."""
+    """(key, set) of the texts wanted (doc_id, key); hashes are made again, as most texts are never compared."""
 
     def run(batches):
         for batch in in_pieces(batches):
-            nodes, sets = [], []
+            keys, sets = [], []
             for text in batch.column(0).cast(pa.binary()):
                 whole, own = shingle_set(text.as_py(), words)
-                node = xxhash.xxh64_intdigest(whole, 3)
-                nodes.append(node - (1 << 64) if node >> 63 else node)
+                key = xxhash.xxh64_intdigest(whole, 3)
+                keys.append(key - (1 << 64) if key >> 63 else key)
                 sets.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    every = some.mapInArrow(run, "node long, set array<long>")
-    return every.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    ids = wanted.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+    every = some.mapInArrow(run, "key long, set array<long>")
+    return every.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b) those of enough similarity: by size, by parity marks, then by the shingles."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}"), F.col("doc_id").alias(f"doc_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "mark", "doc_id", "key")])
     both = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(_near(similarity))
-    near = scratch.written(both.select("a", "b", "doc_a", "doc_b"), "near")
-    wanted = near.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id")).unionByName(near.select(F.col("b").alias("node"), F.col("doc_b").alias("doc_id"))).distinct()
+    near = scratch.written(both.select("a", "b", "doc_id_a", "doc_id_b", "key_a", "key_b"), "near")
+    of = lambda x: near.select(F.col(f"doc_id_{x}").alias("doc_id"), F.col(f"key_{x}").alias("key"))
+    wanted = scratch.written(of("a").unionByName(of("b")).distinct(), "wanted")
     sets = scratch.written(_sets(docs, wanted, words), "sets")
-    compared = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    compared = near.join(sets.select(F.col("key").alias("key_a"), F.col("set").alias("set_a")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("set").alias("set_b")), "key_b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links_ = scratch.written(compared.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "links")
-    scratch.drop(near, sets)
+    scratch.drop(near, wanted, sets)
     return links_
 
 
+def _rotated(fp, r: int):
+    """A fingerprint with block r on top."""
+    by = r * WIDTH
+    return F.shiftleft(fp, by).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(F.shiftright(fp, BITS - by)) if by else fp
+
+
+def _equal_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first block, in the order of rotations, in which fingerprints agree that a rotation shows."""
+    apart = a ^ b
+    first = np.full(len(a), BLOCKS, np.int64)
+    for r in reversed(range(BLOCKS)):  # on the fingerprint as it is, block r is r widths from the top
+        first[(apart >> np.uint64(REST - r * WIDTH)) & np.uint64((1 << WIDTH) - 1) == 0] = r
+    return first
+
+
+def _product(a0, a1, b0, b1):
+    """Index pairs of every two ranges [a0, a1) and [b0, b1), some at a time."""
+    size = (a1 - a0) * (b1 - b0)
+    at = 0
+    total = np.cumsum(size)
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        n, wide = size[at:to], b1[at:to] - b0[at:to]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.maximum(np.repeat(wide, n), 1)
+        yield np.repeat(a0[at:to], n) + k // wide, np.repeat(b0[at:to], n) + k % wide
+        at = to
+
+
+def near_views(k: np.ndarray, node: np.ndarray, label: np.ndarray, fronts=None, bit: int = REST - 1, one: bool = False, equal: bool = True):
+    """(a, b) of nodes of different labels whose fingerprints differ in BUDGET bits at most, in chunks.
+
+    k: (view * BLOCKS + rotation) << BITS | the rotated fingerprint, in order, whole blocks. A pair is found in the first
+    rotation only in which it agrees on the block. ``one``: one pair for each two labels.
+    """
+    order = np.lexsort((label, k))
+    k, node, label = k[order].astype(np.uint64), node[order], label[order]
+    change = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    end = np.append(change[1:], len(k))
+    v = k[change]
+    kind = label[change].copy()
+    mixed = label[end - 1] != kind
+    rotation = ((v >> np.uint64(BITS)) % np.uint64(BLOCKS)).astype(np.int64)
+    # places of labels, from 0; fingerprints of several labels have a place of their own, so that nothing is skipped
+    _, place = np.unique(kind, return_inverse=True)
+    place = np.where(mixed, len(v) + np.arange(len(v)), place)
+
+    def chunks():
+        # nodes of an equal fingerprint, each with those of later labels; by the trie, these are no pairs
+        own = np.flatnonzero(mixed & (rotation == 0)) if equal else np.zeros(0, int)
+        for x in own.tolist():
+            at = np.arange(change[x], end[x])
+            after = change[x] + np.searchsorted(label[change[x] : end[x]], label[at], "right")
+            yield from _product(at, at + 1, after, np.full(len(at), end[x]))
+        head = v >> np.uint64(REST)
+        if fronts is None:
+            first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+            last = np.append(first[1:], len(v))
+            many = last - first > 1
+            a, b = first[many], last[many]
+            given = [(a, b, a.copy(), b.copy(), np.zeros(len(a), np.int64))] if many.any() else []
+        else:
+            given = fronts(v)
+        for i, j in trie_pairs(v, given, bit, BUDGET, place):
+            full = np.uint64((1 << BITS) - 1)
+            by = np.uint64(WIDTH) * rotation[i].astype(np.uint64)
+            back = lambda x: ((x >> by) | (x << (np.uint64(BITS) - by))) & full  # noqa: B023, E731
+            first = _equal_block(back(v[i] & full), back(v[j] & full)) == rotation[i]
+            i, j = i[first], j[first]
+            yield from _product(change[i], end[i], change[j], end[j])
+
+    seen: set = set()
+    for x, y in chunks():
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if one and len(x):
+            lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+            at = np.array([t for t in at.tolist() if (lo[t], hi[t]) not in seen], np.int64)
+            seen.update(zip(lo[at].tolist(), hi[at].tolist()))
+            x, y = x[at], y[at]
+        if len(x):
+            yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def _pairs_of(found) -> pa.Table:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema) for a, b in found], schema)
+
+
+def _candidates(seen: DataFrame, labels: DataFrame, one: bool) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels and a near view. seen: (node, view, fp); labels: (node, root) of the
+    nodes that are connected to others; a task holds some whole blocks at a time."""
+    rows = seen.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "view", "fp")
+    spun = F.explode(F.array(*[(F.shiftleft(F.col("view") * BLOCKS + r, BITS)).bitwiseOR(_rotated(F.col("fp"), r)) for r in range(BLOCKS)]))
+    rows = rows.select(spun.alias("k"), "node", "label")
+    block = F.shiftright("k", REST)
+    hot = rows.groupBy(block.alias("block")).count().where(F.col("count") > HOT).select("block")  # few: each has HOT rows at least
+    hot = [r.block for r in hot.collect()]
+
+    def run(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            head = batch.column(0).to_numpy() >> REST
+            start = 0
+            if size >= HOT and len(head):  # the partition is sorted: cut where a block ends
+                cut = 0 if head[0] != last else int(np.searchsorted(head, last, "right"))
+                if cut < len(head):
+                    held.append(batch.slice(0, cut))
+                    yield from _found(held, one)
+                    held, size, start = [], 0, cut
+            if batch.num_rows:
+                held.append(batch.slice(start))
+                size += batch.num_rows - start
+                last = head[-1]
+        if held:
+            yield from _found(held, one)
+
+    cold = rows.where(~block.isin(hot)) if hot else rows
+    found = cold.repartition(block).sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+    return found.unionByName(_hot_candidates(rows.where(block.isin(hot)), one)) if hot else found
+
+
+def _found(held: list, one: bool):
+    t = pa.Table.from_batches(held)
+    k, node, label = (t.column(c).to_numpy() for c in ("k", "node", "label"))
+    for a, b in near_views(k, node, label, one=one):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _hot_candidates(rows: DataFrame, one: bool) -> DataFrame:
+    """The same for blocks of many rows: a task for each pair of trie nodes DEEPER levels down that are near enough."""
+    below = REST - DEEPER
+    own = F.shiftright("k", below).bitwiseAND(F.lit((1 << DEEPER) - 1))
+    near = [m for m in range(1 << DEEPER) if bin(m).count("1") <= BUDGET]
+    spread = rows.select("k", "node", "label", own.alias("x"), F.explode(F.array(*map(F.lit, near))).alias("m")).withColumn("y", F.col("x").bitwiseXOR(F.col("m")))
+    dealt = spread.select(F.shiftright("k", REST).alias("block"), F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "k", "node", "label")
+
+    def run(key, got):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        k, node, label = (got.column(c).to_numpy() for c in ("k", "node", "label"))
+
+        def fronts(v):
+            n = len(v)
+            at = int(np.searchsorted((v >> np.uint64(below)) & np.uint64((1 << DEEPER) - 1), lo, "right"))
+            if lo == hi:
+                return [tuple(np.array([x]) for x in (0, n, 0, n, 0))] if n > 1 else []
+            spent = bin(lo ^ hi).count("1")
+            return [tuple(np.array([x]) for x in (0, at, at, n, spent))] if 0 < at < n else []
+
+        if lo != hi:  # equal fingerprints meet where lo is hi
+            return _pairs_of(near_views(k, node, label, fronts, below - 1, one, equal=False))
+        return _pairs_of(near_views(k, node, label, fronts, below - 1, one))
+
+    return dealt.groupBy("block", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def _unconnected(nodes: DataFrame, tree: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of nodes that share a shingle of their prefixes and are not connected in the tree."""
     w = Window.partitionBy("token")
@@ -185,35 +357,30 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     scratch = Scratch()
     own = scratch.written(_nodes(docs, words, similarity), "views")
-    nodes = scratch.written(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "mark", "prefix")]).where("doc_id is not null"), "nodes")
-    names = scratch.written(own.select("doc_id", "node"), "names")
+    one = own.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "mark", "prefix")]).where("doc_id is not null")
+    nodes = scratch.written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    names = scratch.written(own.select("doc_id", "key"), "names")
     scratch.drop(own)
-    seen = nodes.where("n > 0").select("node", F.posexplode("sig").alias("view", "fp")).withColumn("fp", F.col("fp").cast("long"))
-    least = seen.groupBy("view", "fp").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1")
-    stars = seen.join(least, ["view", "fp"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = _verified(stars, nodes, docs, words, similarity, scratch)
-    tree = components(first)
-    # the rest: under each fingerprint of a view one node of each group that is connected by now
-    labelled = seen.join(tree.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").groupBy("view", "fp", F.coalesce("root", "node").alias("label")).agg(F.min("node").alias("node"))
-    labelled = scratch.written(labelled, "labels")
-    one = labelled.groupBy("view", "fp").agg(F.min("label").alias("label"), F.min_by("node", "label").alias("least"))
-    across = links(one.select("view", "fp", "label"), BUDGET, BITS, spanning=False).distinct()
-    side = lambda fp, label, node: labelled.select("view", F.col("fp").alias(fp), F.col("label").alias(label), F.col("node").alias(node))
-    found = across.join(side("a", "la", "x"), ["view", "a"]).join(side("b", "lb", "y"), ["view", "b"]).where("la != lb").select("x", "y")
-    within = labelled.join(one.select("view", "fp", "least"), ["view", "fp"]).select(F.col("node").alias("x"), F.col("least").alias("y"))
-    pairs = found.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _verified(pairs, nodes, docs, words, similarity, scratch)
-    scratch.drop(labelled)
-    dropped(tree)
-    tree = components(first.unionByName(second))
+    seen = nodes.where("n > 0").select("node", F.posexplode("sig").alias("view", "fp")).withColumn("view", F.col("view").cast("long"))
+    view = F.shiftleft("view", BITS).bitwiseOR(F.col("fp")).alias("k")
+    least = seen.groupBy(view).agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("k", "least")
+    stars = seen.select(view, "node").join(least, "k").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links_ = _verified(stars, nodes, docs, words, similarity, scratch)
+    tree = components(links_)
+    for sparing in (True, False):
+        pairs = scratch.written(_candidates(seen, tree, sparing).distinct(), "pairs")
+        links_ = links_.unionByName(_verified(pairs, nodes, docs, words, similarity, scratch))
+        scratch.drop(pairs)
+        dropped(tree)
+        tree = components(links_)
     rest = _unconnected(nodes, tree, similarity, scratch)
     third = _verified(rest, nodes, docs, words, similarity, scratch)
     dropped(tree)
-    whole = components(first.unionByName(second).unionByName(third))
-    grouped = nodes.join(whole, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    whole = components(links_.unionByName(third))
+    grouped = nodes.select("node", "key", "doc_id").join(whole, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("group"))
-    named = grouped.join(smallest, "root").select("node", "group")
-    out = written(names.join(named, "node", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group")), "groups")
+    named = grouped.join(smallest, "root").select("key", "group")
+    out = written(names.join(named, "key", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group")), "groups")
     dropped(whole)
     scratch.drop()
     return out

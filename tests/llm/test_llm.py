@@ -518,17 +518,64 @@ def _brute(rows, similarity=0.8):
     return group
 
 
-def test_near_copies_of_one_fingerprint_are_all_compared(spark, monkeypatch):
-    word = lambda k: f"w{k}"
+def _families(words, families, seed=0):
+    """Texts in families: chains of near-copies, some near enough to only one other, and some not quite near enough."""
+    rng = np.random.default_rng(seed)
     rows = []
-    for g in range(30):  # pairs that are similar, and all of them share every view with everything else
-        base = [word(1000 * g + k) for k in range(100)]
-        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-3]))]
-    monkeypatch.setattr(near_copies, "views", lambda shingles: [1] * near_copies.VIEWS)
+    for g in range(families):
+        base = [f"w{1000 * g + k}" for k in range(words)]
+        rows.append(" ".join(base))
+        for _ in range(int(rng.integers(1, 6))):
+            own = (rows[-1] if rng.random() < 0.5 else rows[-1 - int(rng.integers(0, 2)) if len(rows) > 1 else -1]).split()
+            for at in rng.integers(0, words, max(1, int(words * rng.choice([0.005, 0.02, 0.03, 0.05])))):
+                own[int(at)] = f"x{int(rng.integers(1 << 30))}"
+            rows.append(" ".join(own))
+    order = rng.permutation(len(rows))
+    return [(int(i), rows[k]) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("words,families", [(100, 12), (200, 12), (2000, 6)])
+@pytest.mark.parametrize("equal", [1, 2])
+def test_near_copies_of_one_fingerprint_are_all_compared(spark, monkeypatch, words, families, equal):
+    """All texts share every view, or one of two that are near each other; only the shingles tell them apart."""
+    monkeypatch.setattr(near_copies, "views", lambda shingles: [1 << int(shingles[0] % equal)] * near_copies.VIEWS)
+    rows = _families(words, families)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.group for r in near_copies.near_copies(df).collect()} == _brute(rows)
 
 
+@pytest.mark.parametrize("words,families", [(200, 60), (2000, 15)])
+def test_near_copies_of_long_texts(spark, words, families):
+    """With the views as they are; the chance miss shows in few pairs, and none of these."""
+    rows = _families(words, families, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group for r in near_copies.near_copies(df).collect()} == _brute(rows)
+
+
+@pytest.mark.parametrize("hot", [100_000, 40])
+def test_near_views_by_all_pairs(spark, monkeypatch, hot):
+    """Every pair of near views of unconnected nodes, once; blocks of many rows dealt out further give the same."""
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << near_copies.BITS, 8)
+    rows = []
+    for node in range(160):
+        for view in range(3):
+            fp = int(centres[int(rng.integers(0, 8))])
+            for bit in rng.integers(0, near_copies.BITS, int(rng.integers(0, 4))):
+                fp ^= 1 << int(bit)
+            rows.append((node, view, fp))
+    label = {n: int(n % 40) if n < 80 else n for n in range(160)}
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    seen = spark.createDataFrame(rows, "node long, view long, fp long")
+    labels = spark.createDataFrame([(n, x) for n, x in label.items() if n != x], "node long, root long")
+    want = {(min(a, b), max(a, b)) for a, v, x in rows for b, w, y in rows if v == w and bin(x ^ y).count("1") <= near_copies.BUDGET and label[a] != label[b]}
+    got = [(r.a, r.b) for r in near_copies._candidates(seen, labels, False).collect()]
+    assert set(got) == want
+    few = {(r.a, r.b) for r in near_copies._candidates(seen, labels, True).collect()}
+    pairs = lambda s: {tuple(sorted((label[a], label[b]))) for a, b in s}
+    assert few <= want and pairs(few) == pairs(want)
+
+
 def test_short_and_bare_near_copies_are_all_found(spark, monkeypatch):
     rows = []
     for g in range(250):  # four shingles in five, 40 in 50, and 39 in 49, which is less than 0.8
@@ -721,4 +768,4 @@ def test_shards_are_written_in_order(spark, odd, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))

@@ -6,13 +6,16 @@ bounds first and by the shingles themselves in the end, so that a link means a J
 Texts of equal words are one node from the start.
 
 Comparisons go from the cheapest on, and each skips what is connected by then, so that a group of n near-copies costs
-no n x n rows: nodes of an equal view with the smallest of them; then one pair of each two groups that a task finds near
-each other; then every pair of near views whose nodes are not connected yet, without exception.
+no n x n rows: nodes of an equal view with the smallest of them; then each node with the nearest that a task knows,
+if it is very near; then
+every pair of near views whose nodes are not connected yet. Where nodes have many such partners, as in a family of texts
+that are all a little less than similar, these nodes are not paired but compared exactly (crowd): in any order of
+shingles that all texts share, two similar texts have one in common among their first few (prefix), so that of such a
+family only those meet that share a rare shingle.
 
 Two texts of a similarity of just 0.8 differ in a bit with a chance of 0.15, so that a view shows them with 0.19 and
 30 views miss 2 in 1000 such pairs; the nearer they are, the fewer. Signs of few shingles vary more, so short texts are
-compared exactly as well: in any order of shingles that all texts share, two similar texts have one in common among
-their first few (prefix), so that all pairs of short nodes with one are compared unless connected.
+all compared by prefixes as well.
 """
 
 from __future__ import annotations
@@ -34,12 +37,15 @@ VIEWS, BITS, BUDGET = 30, 36, 3
 BLOCKS = BUDGET + 1
 WIDTH = BITS // BLOCKS
 REST = BITS - WIDTH
-#: Pairs that a task makes at once.
+#: Fingerprints of a trie's leaf, and pairs that a task makes at once.
+LEAF = 512
 AT_ONCE = 1 << 20
 #: Texts to be compared whose ids are sent to all executors, 8 bytes each; with more, the join is left to Spark.
 BROADCAST_IDS = 1 << 20
 #: Texts of fewer shingles are compared exactly, and so with those of up to a quarter more, which could be similar.
 SHORT = 100
+#: Bits that a node and its nearest may differ in at first, and partners in one task above which it is of a crowd.
+AT_FIRST, CROWD = 1, 1
 #: Texts, about, whose shingles are counted to put common ones last in the order, and shingles so put. Any order finds
 #: the same links; with common shingles last, fewer pairs are compared.
 SAMPLE, COMMON = 20_000, 1 << 18
@@ -204,70 +210,96 @@ def _product(a0, a1, b0, b1):
         at = to
 
 
-def near_views(k: np.ndarray, node: np.ndarray, label: np.ndarray, fronts=None, bit: int = REST - 1, one: bool = False, equal: bool = True):
-    """(a, b) of nodes of different labels whose fingerprints differ in BUDGET bits at most, in chunks.
+def near_views(k: np.ndarray, label: np.ndarray, fronts=None, bit: int = REST - 1, equal: bool = True):
+    """(i, j, bits) of places of different labels whose fingerprints differ in BUDGET bits at most, in chunks.
 
-    k: (view * BLOCKS + rotation) << BITS | the rotated fingerprint, in order, whole blocks. A pair is found in the first
-    rotation only in which it agrees on the block. ``one``: one pair for each two labels.
+    k: (view * BLOCKS + rotation) << BITS | the rotated fingerprint, in whole blocks, ordered by k and label. A pair is
+    found in the first rotation only in which it agrees on the block; ``equal``: those of equal fingerprints as well.
     """
-    order = np.lexsort((label, k))
-    k, node, label = k[order].astype(np.uint64), node[order], label[order]
+    k = k.astype(np.uint64)
     change = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     end = np.append(change[1:], len(k))
     v = k[change]
-    kind = label[change].copy()
-    mixed = label[end - 1] != kind
+    mixed = label[end - 1] != label[change]
     rotation = ((v >> np.uint64(BITS)) % np.uint64(BLOCKS)).astype(np.int64)
     # places of labels, from 0; fingerprints of several labels have a place of their own, so that nothing is skipped
-    _, place = np.unique(kind, return_inverse=True)
+    _, place = np.unique(label[change], return_inverse=True)
     place = np.where(mixed, len(v) + np.arange(len(v)), place)
-
-    def chunks():
-        # nodes of an equal fingerprint, each with those of later labels; by the trie, these are no pairs
-        own = np.flatnonzero(mixed & (rotation == 0)) if equal else np.zeros(0, int)
-        for x in own.tolist():
+    if equal:  # nodes of an equal fingerprint, each with those of later labels; by the trie, these are no pairs
+        for x in np.flatnonzero(mixed & (rotation == 0)).tolist():
             at = np.arange(change[x], end[x])
             after = change[x] + np.searchsorted(label[change[x] : end[x]], label[at], "right")
-            yield from _product(at, at + 1, after, np.full(len(at), end[x]))
+            for i, j in _product(at, at + 1, after, np.full(len(at), end[x])):
+                yield i, j, np.zeros(len(i), np.int64)
+    if fronts is None:
         head = v >> np.uint64(REST)
-        if fronts is None:
-            first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-            last = np.append(first[1:], len(v))
-            many = last - first > 1
-            a, b = first[many], last[many]
-            given = [(a, b, a.copy(), b.copy(), np.zeros(len(a), np.int64))] if many.any() else []
-        else:
-            given = fronts(v)
-        for i, j in trie_pairs(v, given, bit, BUDGET, place):
-            full = np.uint64((1 << BITS) - 1)
-            by = np.uint64(WIDTH) * rotation[i].astype(np.uint64)
-            back = lambda x: ((x >> by) | (x << (np.uint64(BITS) - by))) & full  # noqa: B023, E731
-            first = _equal_block(back(v[i] & full), back(v[j] & full)) == rotation[i]
-            i, j = i[first], j[first]
-            yield from _product(change[i], end[i], change[j], end[j])
-
-    seen: set = set()
-    for x, y in chunks():
-        apart = label[x] != label[y]
-        x, y = x[apart], y[apart]
-        if one and len(x):
-            lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-            _, at = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-            at = np.array([t for t in at.tolist() if (lo[t], hi[t]) not in seen], np.int64)
-            seen.update(zip(lo[at].tolist(), hi[at].tolist()))
-            x, y = x[at], y[at]
+        first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+        last = np.append(first[1:], len(v))
+        many = last - first > 1
+        a, b = first[many], last[many]
+        given = [(a, b, a.copy(), b.copy(), np.zeros(len(a), np.int64))] if many.any() else []
+    else:
+        given = fronts(v)
+    full = np.uint64((1 << BITS) - 1)
+    for i, j in trie_pairs(v, given, bit, BUDGET, place, LEAF):
+        by = np.uint64(WIDTH) * rotation[i].astype(np.uint64)
+        back = lambda x: ((x >> by) | (x << (np.uint64(BITS) - by))) & full  # noqa: B023, E731
+        first = _equal_block(back(v[i] & full), back(v[j] & full)) == rotation[i]
+        i, j = i[first], j[first]
+        for x, y in _product(change[i], end[i], change[j], end[j]):
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            yield x, y, np.bitwise_count((k[x] ^ k[y]) & full).astype(np.int64)
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _nearest(k, node, label, **how):
+    """(a, b): each node with its nearest partner within AT_FIRST bits, the first by label and node of equally near ones."""
+    best = np.full(len(k), np.iinfo(np.int64).max)
+    rank = np.empty(len(k), np.int64)
+    by = np.lexsort((node, label))
+    rank[by] = np.arange(len(k))
+    for x, y, bits in near_views(k, label, **how):
+        near = bits <= AT_FIRST
+        x, y, bits = x[near], y[near], bits[near]
+        np.minimum.at(best, x, bits * len(k) + rank[y])
+        np.minimum.at(best, y, bits * len(k) + rank[x])
+    x = np.flatnonzero(best != np.iinfo(np.int64).max)
+    y = by[best[x] % len(k)]
+    both = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_FOUND)
+
+
+def _all(k, node, label, **how):
+    """(a, b) of every two partners of which one is of no crowd, and (a, null) of the nodes of a crowd."""
+    degree = np.zeros(len(k), np.int64)
+    for x, y, _ in near_views(k, label, **how):
+        np.add.at(degree, x, 1)
+        np.add.at(degree, y, 1)
+    crowd = degree > CROWD
+    for x, y, _ in near_views(k, label, **how):
+        few = ~(crowd[x] & crowd[y])
+        x, y = node[x[few]], node[y[few]]
         if len(x):
-            yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_FOUND)
+    own = np.unique(node[crowd])
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64())], schema=_FOUND)
+
 
+def _found(tables: list, pick, **how):
+    t = pa.Table.from_batches(tables) if isinstance(tables, list) else tables
+    k, node, label = (t.column(c).to_numpy() for c in ("k", "node", "label"))
+    order = np.lexsort((node, label, k))
+    yield from pick(k[order], node[order], label[order], **how)
 
-def _pairs_of(found) -> pa.Table:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema) for a, b in found], schema)
 
+def _candidates(seen: DataFrame, labels: DataFrame, pick) -> DataFrame:
+    """What ``pick`` makes of nodes with different labels and a near view: (a, b), and (a, null) for nodes of a crowd.
 
-def _candidates(seen: DataFrame, labels: DataFrame, one: bool) -> DataFrame:
-    """Pairs (a, b) of nodes with different labels and a near view. seen: (node, view, fp); labels: (node, root) of the
-    nodes that are connected to others; a task holds some whole blocks at a time."""
+    seen: (node, view, fp); labels: (node, root) of the nodes that are connected. A task holds some blocks at a time.
+    """
     rows = seen.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "view", "fp")
     spun = F.explode(F.array(*[(F.shiftleft(F.col("view") * BLOCKS + r, BITS)).bitwiseOR(_rotated(F.col("fp"), r)) for r in range(BLOCKS)]))
     rows = rows.select(spun.alias("k"), "node", "label")
@@ -284,28 +316,21 @@ def _candidates(seen: DataFrame, labels: DataFrame, one: bool) -> DataFrame:
                 cut = 0 if head[0] != last else int(np.searchsorted(head, last, "right"))
                 if cut < len(head):
                     held.append(batch.slice(0, cut))
-                    yield from _found(held, one)
+                    yield from _found(held, pick)
                     held, size, start = [], 0, cut
             if batch.num_rows:
                 held.append(batch.slice(start))
                 size += batch.num_rows - start
                 last = head[-1]
         if held:
-            yield from _found(held, one)
+            yield from _found(held, pick)
 
     cold = rows.where(~block.isin(hot)) if hot else rows
     found = cold.repartition(block).sortWithinPartitions("k").mapInArrow(run, "a long, b long")
-    return found.unionByName(_hot_candidates(rows.where(block.isin(hot)), one)) if hot else found
-
-
-def _found(held: list, one: bool):
-    t = pa.Table.from_batches(held)
-    k, node, label = (t.column(c).to_numpy() for c in ("k", "node", "label"))
-    for a, b in near_views(k, node, label, one=one):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return found.unionByName(_hot_candidates(rows.where(block.isin(hot)), pick)) if hot else found
 
 
-def _hot_candidates(rows: DataFrame, one: bool) -> DataFrame:
+def _hot_candidates(rows: DataFrame, pick) -> DataFrame:
     """The same for blocks of many rows: a task for each pair of trie nodes DEEPER levels down that are near enough."""
     below = REST - DEEPER
     own = F.shiftright("k", below).bitwiseAND(F.lit((1 << DEEPER) - 1))
@@ -315,7 +340,6 @@ def _hot_candidates(rows: DataFrame, one: bool) -> DataFrame:
 
     def run(key, got):
         lo, hi = key[1].as_py(), key[2].as_py()
-        k, node, label = (got.column(c).to_numpy() for c in ("k", "node", "label"))
 
         def fronts(v):
             n = len(v)
@@ -325,22 +349,21 @@ def _hot_candidates(rows: DataFrame, one: bool) -> DataFrame:
             spent = bin(lo ^ hi).count("1")
             return [tuple(np.array([x]) for x in (0, at, at, n, spent))] if 0 < at < n else []
 
-        if lo != hi:  # equal fingerprints meet where lo is hi
-            return _pairs_of(near_views(k, node, label, fronts, below - 1, one, equal=False))
-        return _pairs_of(near_views(k, node, label, fronts, below - 1, one))
+        # equal fingerprints meet where lo is hi
+        return pa.Table.from_batches(_found(got, pick, fronts=fronts, bit=below - 1, equal=lo == hi), _FOUND)
 
     return dealt.groupBy("block", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def _unconnected(nodes: DataFrame, tree: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b) of nodes that share a shingle of their prefixes and are not connected in the tree."""
+def _unconnected(firsts: DataFrame, nodes: DataFrame, tree: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of nodes that share a shingle of their prefixes (node, prefix) and are not connected in the tree."""
     w = Window.partitionBy("token")
-    held = nodes.where("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("token"))
+    held = firsts.where("size(prefix) > 0").select("node", F.explode("prefix").alias("token"))
     often = held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     held = scratch.written(held.join(often, "token"), "held")
-    labelled = held.join(tree.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("label"))
+    labelled = held.join(tree.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("token", "node", F.coalesce("root", "node").alias("label"))
     mixed = labelled.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo != hi").drop("lo", "hi")
-    mixed = scratch.written(mixed.join(nodes.select("node", "mark"), "node"), "mixed")
+    mixed = scratch.written(mixed.join(nodes.select("node", "n", "mark"), "node"), "mixed")
     side = lambda x: mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "mark", "label")])
     both = side("a").join(side("b"), "token").where((F.col("label_a") < F.col("label_b")) & _near(similarity))
     pairs = scratch.written(both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
@@ -348,6 +371,20 @@ def _unconnected(nodes: DataFrame, tree: DataFrame, similarity: float, scratch:
     return pairs
 
 
+def _firsts(crowd: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, prefix) of the nodes of crowd (node, doc_id), in an order of shingles of their own."""
+    some = crowd if crowd.count() > BROADCAST_IDS else F.broadcast(crowd)
+    texts = docs.select("doc_id", "text").join(some, "doc_id").dropDuplicates(["node"])
+    sent = docs.sparkSession.sparkContext.broadcast(_common(texts, words, float("inf")))
+
+    def run(batches):
+        for batch in in_pieces(batches):
+            own = [prefix(shingle_set(t.as_py(), words)[1], *sent.value, similarity).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "prefix"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, prefix array<long>")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group): the smallest doc_id that each row is linked to, itself included.
 
@@ -367,16 +404,19 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     stars = seen.select(view, "node").join(least, "k").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links_ = _verified(stars, nodes, docs, words, similarity, scratch)
     tree = components(links_)
-    for sparing in (True, False):
-        pairs = scratch.written(_candidates(seen, tree, sparing).distinct(), "pairs")
-        links_ = links_.unionByName(_verified(pairs, nodes, docs, words, similarity, scratch))
-        scratch.drop(pairs)
+    firsts = [nodes.select("node", "prefix")]
+    for pick in (_nearest, _all):
+        found = scratch.written(_candidates(seen, tree, pick).distinct(), "found")
+        links_ = links_.unionByName(_verified(found.where("b is not null"), nodes, docs, words, similarity, scratch))
+        crowd = scratch.written(found.where("b is null").select(F.col("a").alias("node")).join(nodes.select("node", "doc_id"), "node"), "crowd")
+        scratch.drop(found)
         dropped(tree)
         tree = components(links_)
-    rest = _unconnected(nodes, tree, similarity, scratch)
-    third = _verified(rest, nodes, docs, words, similarity, scratch)
+    firsts.append(_firsts(crowd, docs, words, similarity))
+    rest = [_unconnected(own, nodes, tree, similarity, scratch) for own in firsts]
+    links_ = links_.unionByName(_verified(rest[0].unionByName(rest[1]).distinct(), nodes, docs, words, similarity, scratch))
     dropped(tree)
-    whole = components(links_.unionByName(third))
+    whole = components(links_)
     grouped = nodes.select("node", "key", "doc_id").join(whole, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("group"))
     named = grouped.join(smallest, "root").select("key", "group")

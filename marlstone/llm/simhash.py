@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(v: np.ndarray, fronts: list[tuple], bit: int, budget: int, label: np.ndarray | None = None):
+def trie_pairs(v: np.ndarray, fronts: list[tuple], bit: int, budget: int, label: np.ndarray | None = None, leaf: int = 1):
     """Index pairs (i < j) of the sorted values v under the node pairs of ``fronts`` that differ in at most budget bits.
 
     A node pair is five arrays: first and end of either node and the bits spent; the nodes share no value unless they
@@ -99,15 +99,24 @@ def trie_pairs(v: np.ndarray, fronts: list[tuple], bit: int, budget: int, label:
         if steps is not None:
             dull = (steps[b - 1] == steps[a]) & (steps[d - 1] == steps[c]) & (label[a] == label[c])
             a, b, c, d, spent = (x[~dull] for x in (a, b, c, d, spent))
-        leaf = (b - a == 1) & (d - c == 1)
-        if leaf.any():
-            i, j = a[leaf], c[leaf]
+        if leaf > 1:
+            small = (b - a <= leaf) & (d - c <= leaf)
+            for p, q, r, s in zip(a[small].tolist(), b[small].tolist(), c[small].tolist(), d[small].tolist()):
+                i, j = np.nonzero(np.bitwise_count(v[p:q, None] ^ v[None, r:s]) <= budget)
+                once = i < j if p == r else slice(None)
+                i, j = i[once] + p, j[once] + r
+                if len(i):
+                    yield np.minimum(i, j), np.maximum(i, j)
+            a, b, c, d, spent = (x[~small] for x in (a, b, c, d, spent))
+        single = (b - a == 1) & (d - c == 1)
+        if single.any():
+            i, j = a[single], c[single]
             far = np.bitwise_count(v[i] ^ v[j]) > budget
             ok = ~far & (i != j)
             if ok.any():
                 i, j = i[ok], j[ok]
                 yield np.minimum(i, j), np.maximum(i, j)
-            a, b, c, d, spent = (x[~leaf] for x in (a, b, c, d, spent))
+            a, b, c, d, spent = (x[~single] for x in (a, b, c, d, spent))
         if not len(a):
             continue
         if bit < 0:  # equal values, which fingerprints are not

@@ -38,13 +38,13 @@ def _trader(fees: float, slippage: float, impact: bool):
         if en and shares == 0:
             ask = close * (1 + slippage + cost(cash, amount)) * (1 + fees)
             many = cash / ask if ask else 0.0
-            n = math.trunc(many) if math.isfinite(many) else 0
+            n = float(math.trunc(many)) if math.isfinite(many) else 0.0
             if not n:
                 return state, None
             return (cash - n * ask, n, n * ask), (date, cash - n * ask, n, None)
         if ex and shares > 0:
             got = shares * (close * (1 - slippage - cost(shares * close, amount)) * (1 - fees))
-            return (cash + got, 0, 0.0), (date, cash + got, 0, got - paid)
+            return (cash + got, 0.0, 0.0), (date, cash + got, 0.0, got - paid)
         return state, None
 
     return step
@@ -66,7 +66,7 @@ def equity(df: DataFrame, keys: list[str], cash: float = 1_000_000.0, fees: floa
     before = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("_p", before)
     moves = marked.where((F.col("_k") != 2) | (F.coalesce("_p", F.lit(0)) != 2)).select(*keys, *cols)
-    trades = fold(moves, keys, ["date"], "date date, cash double, shares bigint, pnl double", lambda: (cash, 0, 0.0), _trader(fees, slippage, impact), cuts)
+    trades = fold(moves, keys, ["date"], "date date, cash double, shares double, pnl double", lambda: (cash, 0.0, 0.0), _trader(fees, slippage, impact), cuts)
     held = bars.join(trades.select(*keys, "date", F.struct("cash", "shares", "pnl").alias("t")), [*keys, "date"], "left")
     last = F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     v = F.coalesce(last["cash"] + last["shares"] * F.col("close"), F.lit(cash))
@@ -86,6 +86,20 @@ def summarise(curve: DataFrame, keys: list[str], cash: float = 1_000_000.0) -> D
     )
 
 
+def batch(features: DataFrame, names: list[str], least: int = 60, **costs) -> DataFrame:
+    """(strategy, ticker, outcome, figures) of each strategy over each series: too short, without an entry, or run."""
+    from functools import reduce
+
+    from .strategies import signals
+
+    keys = ["strategy", "ticker"]
+    tried = reduce(DataFrame.unionByName, [signals(features, n).select(F.lit(n).alias("strategy"), "ticker", "date", "close", "en", "ex") for n in names])
+    n = tried.groupBy(*keys).agg(F.count("close").alias("n"), F.count_if("en").alias("entries"))
+    n = n.select(*keys, F.when(F.col("n") < least, "too_short").when(F.col("entries") == 0, "no_entry").otherwise("run").alias("outcome"))
+    run = tried.join(n.where("outcome = 'run'").select(*keys), keys, "left_semi")
+    return n.join(summarise(equity(run, keys, **costs), keys), keys, "left")
+
+
 def realism(df: DataFrame, limit: float = 0.10, tol: float = 1e-6) -> DataFrame:
     """Signals that can be traded: none without volume, no entry at the upper limit, no exit at the lower one."""
     prev = F.coalesce(F.lag("close").over(series()), F.lit(0.0))

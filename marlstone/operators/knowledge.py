@@ -46,7 +46,7 @@ def score_entries(entries: DataFrame, query: str, regime: str | None = None, tim
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
     n = F.size(words)
     hits = lambda t: F.size(F.array_intersect(words, t))
-    share = lambda h: F.coalesce(F.least(sdiv(h, n), F.lit(1.0)), F.lit(0.0))
+    share = lambda h: F.least(F.coalesce(sdiv(h, n), F.lit(0.0)), F.lit(1.0))
     joined = lambda c: tokens(F.array_join(F.coalesce(c, F.array().cast("array<string>")), " "))
     tag = F.greatest(hits(joined("tags")).cast("double"), hits(tokens(F.substring("content", 1, 200))) * 0.5)
     parts = 0.35 * share(hits(tokens("title"))) + 0.25 * share(hits(joined("keywords"))) + 0.15 * share(tag)

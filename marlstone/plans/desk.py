@@ -12,7 +12,7 @@ from marlstone.operators import committee, regime, risk, strategies
 from marlstone.registry import query
 
 from .factors import FORMULAS, STEPS, _full, panel
-from .trading import BRIN, PORT, RET, W, portfolio, returns
+from .trading import _fold, BRIN, PORT, RET, W, portfolio, returns
 from .views import BARS, INDEX, bars, index_bars, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -216,12 +216,16 @@ def strategy_signals(spark, sf_dir):
     return out
 
 
-@query("batch_backtest", f"WITH {_FEAT}, n AS (SELECT ticker, count(close) AS bars, count_if(momentum_20d > 0.05) AS entries FROM ft GROUP BY ticker) SELECT ticker, CASE WHEN bars < 60 THEN 'too_short' WHEN entries = 0 THEN 'no_entry' ELSE 'run' END AS outcome FROM n")
+_TRIED = " UNION ALL ".join(f"SELECT '{k}' AS strategy, ticker, date, close, coalesce({en}, false) AS en, coalesce({ex}, false) AS ex FROM ft" for k, (en, ex) in RULES.items())
+_OUTCOME = "CASE WHEN n_bars < 60 THEN 'too_short' WHEN entries = 0 THEN 'no_entry' ELSE 'run' END"
+
+
+@query("batch_backtest", f"""WITH RECURSIVE {_FEAT}, tried AS ({_TRIED}), n AS (SELECT strategy, ticker, count(close) AS n_bars, count_if(en) AS entries FROM tried GROUP BY ALL), ok AS (SELECT t.* FROM tried t JOIN n ON n.strategy = t.strategy AND n.ticker = t.ticker WHERE {_OUTCOME} = 'run'),
+{_fold('ok', 'strategy, ticker')} SELECT n.strategy, n.ticker, {_OUTCOME} AS outcome, round(ln(1 + total_return), 6) AS log_return, round(sharpe_ratio, 4) AS sharpe_ratio, round(max_drawdown, 6) AS max_drawdown, round(win_rate, 6) AS win_rate, trade_count FROM n LEFT JOIN done d ON d.strategy = n.strategy AND d.ticker = n.ticker""")
 def batch_backtest(spark, sf_dir):
-    """Which brands a batch of backtests would run, and why it leaves others out."""
-    s = strategies.signals(panel(spark, sf_dir, ["momentum_20d"]), "momentum")
-    n = s.groupBy("ticker").agg(F.count("close").alias("bars"), F.count_if("en").alias("entries"))
-    return n.select("ticker", F.when(F.col("bars") < 60, "too_short").when(F.col("entries") == 0, "no_entry").otherwise("run").alias("outcome"))
+    """Every strategy over every brand, and why some are left out."""
+    b = bt.batch(panel(spark, sf_dir, list(_FEATURES)), list(strategies.REGISTRY))
+    return b.select("strategy", "ticker", "outcome", R(F.ln(1 + F.col("total_return"))).alias("log_return"), R("sharpe_ratio", 4).alias("sharpe_ratio"), R("max_drawdown").alias("max_drawdown"), R("win_rate").alias("win_rate"), "trade_count")
 
 
 _TREND = "(close / (1 + ma_deviation_20)) / NULLIF(close / (1 + ma_deviation_60), 0) - 1"

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.rolling import series
 from marlstone.functions.safe import conform, number, sdiv
-from marlstone.operators import broker, evaluate, knowledge, strategies
+from marlstone.operators import broker, evaluate, factors, knowledge, retrieval, strategies
 from marlstone.registry import query
+from marlstone.sources.scratch import shared_path
 
 from .cleaning import W
 from .desk import _IND, curve, held
 from .factors import LONG, long, panel
-from .reports import DECISIONS, RUNS, decisions, runs, where_all
+from .reports import DECISIONS, RUNS, decision_backfill, decisions, runs, where_all
 from .research import BUCKETS, PAIRS, RANKED, pairs
 from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, fundamentals, index_bars, sbars, table, xsec
 
@@ -63,6 +64,35 @@ def ic_statistics(spark, sf_dir):
     return t.agg(F.lit("momentum_20d").alias("factor_name"), R(F.avg("ic")).alias("ic"), R(F.stddev_samp("ic")).alias("ic_std"), R(F.avg("ic") / (F.stddev_samp("ic") + 1e-8)).alias("icir"), R(F.avg((F.col("ic") > 0).cast("double"))).alias("ic_positive_ratio"), F.count("ic").alias("n_periods"), (F.abs(F.avg("ic")) < 0.02).alias("is_decaying"))
 
 
+_ALL_IC = f"""{LONG}, fw AS (SELECT ticker, date, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / NULLIF(close, 0) - 1 AS fwd FROM bars),
+lf AS (SELECT l.*, fwd FROM long l JOIN fw ON fw.ticker = l.ticker AND fw.date = l.date WHERE fwd IS NOT NULL),
+rk AS (SELECT factor_name, ticker, rank() OVER (PARTITION BY factor_name, ticker ORDER BY factor_value) + (count(*) OVER (PARTITION BY factor_name, ticker, factor_value) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY factor_name, ticker ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_name, ticker, fwd) - 1) / 2.0::DOUBLE AS ry FROM lf),
+tk AS (SELECT factor_name, ticker, covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0) AS ic FROM rk GROUP BY ALL)"""
+
+
+@query("ic_statistics_all", f"WITH {_ALL_IC} SELECT factor_name, round(avg(ic), 6) AS ic, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / (stddev_samp(ic) + 1e-8), 4) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE WHEN ic <= 0 THEN 0 END), 6) AS ic_positive_ratio, count(ic) AS n_tickers FROM tk GROUP BY factor_name")
+def ic_statistics_all(spark, sf_dir):
+    """Rank correlations of all factors with the returns of five bars, over all brands."""
+    names = factors.list_factors()
+    own = panel(spark, sf_dir).withColumn("fwd", evaluate.forward_return(5)).where("fwd is not null")
+    rows = own.unpivot(["ticker", "date", "fwd"], names, "factor_name", "factor_value").where("factor_value is not null")
+    ranked = rows.withColumns({"rx": evaluate.avg_rank("factor_value", "factor_name", "ticker"), "ry": evaluate.avg_rank("fwd", "factor_name", "ticker")})
+    t = ranked.groupBy("factor_name", "ticker").agg(evaluate.safe_corr("rx", "ry").alias("ic"))
+    mean, std = F.avg("ic"), F.stddev_samp("ic")
+    return t.groupBy("factor_name").agg(R(mean).alias("ic"), R(std).alias("ic_std"), R(mean / (std + 1e-8), 4).alias("icir"), R(F.avg((F.col("ic") > 0).cast("double"))).alias("ic_positive_ratio"), F.count("ic").alias("n_tickers"))
+
+
+for _period, _days, _most in (("weekly", 7, 10), ("monthly", 30, 15)):
+
+    @query(f"{_period}_factor_ranking", f"WITH {LONG} SELECT factor_name, count(*) AS cnt, round(avg(factor_value), 4) AS avg_val, round(stddev_samp(factor_value), 4) AS std_val FROM long WHERE date >= (SELECT max(date) FROM long) - {_days} GROUP BY factor_name ORDER BY cnt DESC, factor_name LIMIT {_most}")
+    def _ranking(spark, sf_dir, days=_days, most=_most):
+        """The factors with the most values of the period, with their mean and spread."""
+        own = long(spark, sf_dir)
+        last = F.broadcast(own.agg(F.max("date").alias("last")))  # one row
+        g = own.join(last, F.col("date") >= F.date_sub("last", days)).groupBy("factor_name")
+        return g.agg(F.count("*").alias("cnt"), R(F.avg("factor_value"), 4).alias("avg_val"), R(F.stddev_samp("factor_value"), 4).alias("std_val")).orderBy(F.desc("cnt"), "factor_name").limit(most)
+
+
 _PIVOT = ("momentum_5d", "rsi_14", "atr_14")
 
 
@@ -275,11 +305,15 @@ def financials_latest(spark, sf_dir):
     return last.select("ticker", "r.report_date", R("r.revenue", 4).alias("revenue"), R("r.eps").alias("eps"))
 
 
-@query("financials_parsed", f"WITH {FUNDAMENTALS}, t AS (SELECT ticker, report_date, CASE WHEN month(report_date) = 3 THEN '--' ELSE CAST(CAST(floor(revenue) AS BIGINT) AS VARCHAR) END AS revenue FROM fundamentals) SELECT ticker, report_date, CASE WHEN month(report_date) <> 3 THEN CAST(revenue AS DOUBLE) END AS revenue FROM t")
+_FIGURE = "CAST(CAST({0} AS DECIMAL(18, 4)) AS {1})"
+_SHAPES = "CASE month(report_date) WHEN 3 THEN '--' WHEN 6 THEN '-' || {0} WHEN 9 THEN '  ' || {0} || ' ' ELSE CASE WHEN ticker LIKE 'Brand#1%' THEN {0} || ' units' ELSE {0} END END"
+
+
+@query("financials_parsed", f"WITH {FUNDAMENTALS}, t AS (SELECT ticker, report_date, {_SHAPES.format(_FIGURE.format('revenue', 'VARCHAR'))} AS revenue FROM fundamentals) SELECT ticker, report_date, TRY_CAST(trim(revenue) AS DOUBLE) AS revenue FROM t")
 def financials_parsed(spark, sf_dir):
-    """Figures that arrive as text, one row a report; what is no number is null."""
-    t = fundamentals(spark, sf_dir).select("ticker", "report_date", F.when(F.month("report_date") == 3, "--").otherwise(F.floor("revenue").cast("string")).alias("revenue"))
-    return t.groupBy("ticker", "report_date").agg(F.first("revenue").alias("revenue")).select("ticker", "report_date", number(F.col("revenue")).alias("revenue"))
+    """Figures that arrive as text with decimals, signs and spaces, one row a report; what is no number is null."""
+    t = fundamentals(spark, sf_dir).select("ticker", "report_date", F.expr(_SHAPES.format(_FIGURE.format("revenue", "STRING"))).alias("revenue"))
+    return t.select("ticker", "report_date", number(F.trim("revenue")).alias("revenue"))
 
 
 @query("events_top", "SELECT event_type, event_id % 3 AS sentiment, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, sentiment LIMIT 10")
@@ -316,13 +350,60 @@ for _unit, _below in (("month", "week"), ("quarter", "month")):
         return knowledge.roll_up(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")), unit, below)
 
 
-@query("daily_report", f"WITH {BARS}, {INDEX}, m AS (SELECT max(date) AS d FROM bars), n AS (SELECT count(*) AS n, round(sum(amount), 2) AS v FROM bars, m WHERE date = d), i AS (SELECT round(close, 4) AS c FROM index_bars, m WHERE date = d) SELECT '# Report ' || strftime(d, '%Y-%m-%d') || chr(10) || 'brands: ' || n || chr(10) || 'index: ' || printf('%.2f', c) AS report FROM m, n, i".replace(", round(sum(amount), 2) AS v", ""))
+_ENTRY = "e AS (SELECT item_id AS id, text[:60] AS title, [split_part(text, ' ', 2), split_part(text, ' ', 5)] AS keywords, [split_part(text, ' ', 3)] AS tags, text AS content, CASE WHEN item_id % 2 = 0 THEN 'scenario' ELSE 'entity' END AS type, CASE WHEN item_id % 3 = 0 THEN ['trend', 'extreme_volatility'] ELSE ['oscillating'] END AS market_regime, CASE WHEN item_id % 4 = 0 THEN ['all'] ELSE ['daily'] END AS timeframe FROM benchmark)"
+_TOK = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))"
+_Q = "['the', 'thatnd', 'in', 'heed']"
+_HIT = lambda c: f"len(list_intersect({_Q}, {_TOK.format(c)}))"
+_ENTRY_SCORE = f"{_ENTRY}, s AS (SELECT id, title, 0.35 * least({_HIT('title')} / 4.0::DOUBLE, 1) + 0.25 * least({_HIT('array_to_string(keywords, chr(32))')} / 4.0::DOUBLE, 1) + 0.15 * least(greatest({_HIT('array_to_string(tags, chr(32))')}, {_HIT('content[:200]')} * 0.5) / 4.0::DOUBLE, 1) + CASE WHEN list_contains(market_regime, 'trend') THEN 0.15 ELSE 0 END + CASE WHEN list_contains(timeframe, 'daily') OR list_contains(timeframe, 'all') THEN 0.1 ELSE 0 END AS s FROM e WHERE type = 'scenario')"
+
+_STATE = "CASE WHEN {0} > 0.005 THEN 'trend' WHEN {0} < -0.005 THEN 'weak' ELSE 'sideways' END"
+_DAILY = f"""WITH {LONG}, {INDEX}, {DECISIONS.removeprefix(BARS + ', ')}, {_ENTRY_SCORE},
+ix AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS r, close / max(close) OVER (ORDER BY date) - 1 AS dd FROM index_bars), ld AS (SELECT * FROM ix ORDER BY date DESC LIMIT 1),
+ch AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars), td AS (SELECT count(*) AS n, count_if(r > 0) AS up, count_if(r < 0) AS down FROM ch WHERE date = (SELECT date FROM ld)),
+mo AS (SELECT ticker, factor_value AS v FROM long WHERE factor_name = 'momentum_20d' AND date = (SELECT date FROM ld)),
+ev AS (SELECT event_type, count(*) AS n, avg(value) AS v FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY 1),
+sc AS (SELECT id, title, CASE WHEN s > 0 THEN s ELSE 0.02 END AS score FROM s ORDER BY score DESC, id LIMIT 3),
+ac AS (SELECT count_if(return_5d > 0) AS w, count(return_5d) AS n FROM filled WHERE decision_date > (SELECT date FROM ld) - 120)
+SELECT '---' || chr(10) || 'report_id: rpt_' || strftime(date, '%Y%m%d') || '_market' || chr(10) || 'date: ' || strftime(date, '%Y-%m-%d') || chr(10) || '---' || chr(10) || '# Daily report ' || strftime(date, '%Y-%m-%d')
+ || chr(10) || chr(10) || '## 1. Market state' || chr(10) || {_STATE.format('r')} || printf(' (index %+.2f%%)', r * 100)
+ || chr(10) || chr(10) || '## 2. Snapshot' || chr(10) || printf('index %.2f', close) || chr(10) || n || ' traded, ' || up || ' up, ' || down || ' down'
+ || chr(10) || chr(10) || '## 3. Factor signals' || chr(10) || (SELECT string_agg('- ' || ticker || ': ' || printf('%.4f', v), chr(10) ORDER BY -v, ticker) FROM (SELECT * FROM mo ORDER BY -v, ticker LIMIT 3))
+ || chr(10) || chr(10) || '## 4. Risk checks' || chr(10) || printf('drawdown %.2f%%', dd * 100) || CASE WHEN r < -0.02 THEN ', daily stop' ELSE '' END
+ || chr(10) || chr(10) || '## 5. Events' || chr(10) || (SELECT string_agg('- [' || event_type || '] ' || n, chr(10) ORDER BY -n, event_type) FROM ev)
+ || chr(10) || chr(10) || '## 6. Sentiment' || chr(10) || (SELECT string_agg('- ' || event_type || printf(': %.2f', v), chr(10) ORDER BY event_type) FROM ev)
+ || chr(10) || chr(10) || '## 7. Method' || chr(10) || (SELECT string_agg('- ' || title, chr(10) ORDER BY -score, id) FROM sc)
+ || chr(10) || chr(10) || '## 8. Prediction' || chr(10) || (SELECT CASE WHEN avg(v) > 0.02 THEN 'bullish' WHEN avg(v) < -0.02 THEN 'bearish' ELSE 'neutral' END FROM mo) || ', ' || (SELECT w || ' of ' || n FROM ac) || ' recent decisions right' AS report FROM ld, td"""
+
+
+@query("daily_report", _DAILY)
 def daily_report(spark, sf_dir):
-    """The last day's figures as text, one row."""
-    last = bars(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n")).orderBy(F.desc("date")).limit(1)
-    j = last.join(index_bars(spark, sf_dir).select("date", "close"), "date")
-    line = lambda name, v: F.concat(F.lit(f"{name}: "), v)
-    return j.select(F.concat_ws("\n", F.concat(F.lit("# Report "), F.date_format("date", "yyyy-MM-dd")), line("brands", F.col("n").cast("string")), line("index", F.format_string("%.2f", "close"))).alias("report"))
+    """The last day in eight sections: index, brands, the highest momentum, drawdown, events and what fits them."""
+    from marlstone.operators import report
+
+    ix = index_bars(spark, sf_dir).select("date", "close")
+    w = Window.orderBy("date")  # a row a day
+    last = ix.withColumns({"r": F.col("close") / F.lag("close").over(w) - 1, "dd": F.col("close") / F.max("close").over(w) - 1}).orderBy(F.desc("date")).limit(1)
+    day = F.broadcast(last.select("date"))  # one row
+    changes = bars(spark, sf_dir).withColumn("r", F.col("close") / F.lag("close").over(series()) - 1).join(day, "date")
+    traded = changes.agg(F.format_string("%d traded, %d up, %d down", F.count("*"), F.count_if(F.col("r") > 0), F.count_if(F.col("r") < 0)).alias("t"))
+    momentum = long(spark, sf_dir, ["momentum_20d"]).join(day, "date").select("ticker", F.col("factor_value").alias("v"))
+    e = table(spark, sf_dir, "events")
+    newest = F.broadcast(e.agg(F.to_date(F.max("ts")).alias("day")))
+    kinds = e.join(newest, F.to_date("ts") == F.col("day")).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+    recent = decision_backfill(spark, sf_dir).join(day, F.col("decision_date") > F.date_sub("date", 120))
+    right = recent.agg(F.format_string(", %d of %d recent decisions right", F.count_if(F.col("return_5d") > 0), F.count("return_5d")).alias("t"))
+    mean = F.avg("v")
+    side = momentum.agg(F.when(mean > 0.02, "bullish").when(mean < -0.02, "bearish").otherwise("neutral").alias("s"))
+    return report.compose(last, [
+        last.select(report.market_state(F.col("r")).alias("text")),
+        last.crossJoin(F.broadcast(traded)).select(F.concat(F.format_string("index %.2f", "close"), F.lit("\n"), "t").alias("text")),
+        report.listed(momentum, F.format_string("- %s: %.4f", "ticker", "v"), [(-F.col("v")).alias("v"), F.col("ticker")], 3, "none"),
+        last.select(F.concat(F.format_string("drawdown %.2f%%", F.col("dd") * 100), F.when(F.col("r") < -0.02, ", daily stop").otherwise("")).alias("text")),
+        report.listed(kinds, F.format_string("- [%s] %d", "event_type", "n"), [(-F.col("n")).alias("n"), F.col("event_type")], 10, "none"),
+        report.listed(kinds, F.format_string("- %s: %.2f", "event_type", "v"), [F.col("event_type")], 10, "none"),
+        report.listed(_best(spark, sf_dir), F.concat(F.lit("- "), "title"), [(-F.col("score")).alias("score"), F.col("id")], 3, "none"),
+        side.crossJoin(F.broadcast(right)).select(F.concat("s", "t").alias("text")),
+    ])
 
 
 @query("recent_decisions", f"WITH {DECISIONS} SELECT decision_id, ticker, decision_date, return_5d FROM filled WHERE ticker = 'Brand#12' ORDER BY decision_date DESC, decision_id DESC LIMIT 20")
@@ -356,13 +437,6 @@ def health_checks(spark, sf_dir):
 
 # Knowledge base and catalogue
 
-_ENTRY = "e AS (SELECT item_id AS id, text[:60] AS title, [split_part(text, ' ', 2), split_part(text, ' ', 5)] AS keywords, [split_part(text, ' ', 3)] AS tags, text AS content, CASE WHEN item_id % 2 = 0 THEN 'scenario' ELSE 'entity' END AS type, CASE WHEN item_id % 3 = 0 THEN ['trend', 'extreme_volatility'] ELSE ['oscillating'] END AS market_regime, CASE WHEN item_id % 4 = 0 THEN ['all'] ELSE ['daily'] END AS timeframe FROM benchmark)"
-_TOK = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))"
-_Q = "['the', 'thatnd', 'in', 'heed']"
-_HIT = lambda c: f"len(list_intersect({_Q}, {_TOK.format(c)}))"
-_ENTRY_SCORE = f"{_ENTRY}, s AS (SELECT id, title, 0.35 * least({_HIT('title')} / 4.0::DOUBLE, 1) + 0.25 * least({_HIT('array_to_string(keywords, chr(32))')} / 4.0::DOUBLE, 1) + 0.15 * least(greatest({_HIT('array_to_string(tags, chr(32))')}, {_HIT('content[:200]')} * 0.5) / 4.0::DOUBLE, 1) + CASE WHEN list_contains(market_regime, 'trend') THEN 0.15 ELSE 0 END + CASE WHEN list_contains(timeframe, 'daily') OR list_contains(timeframe, 'all') THEN 0.1 ELSE 0 END AS s FROM e WHERE type = 'scenario')"
-
-
 def entries(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
@@ -383,6 +457,22 @@ def entry_search(spark, sf_dir):
     return _best(spark, sf_dir).select("id", R("score").alias("score"))
 
 
+@query("entry_search_indexed", f"WITH {_ENTRY_SCORE} SELECT id, round(CASE WHEN s > 0 THEN s ELSE 0.02 END, 6) AS score FROM s ORDER BY score DESC, id LIMIT 5")
+def entry_search_indexed(spark, sf_dir):
+    """entry_search() from an index, which is built first."""
+    path = shared_path(spark, "index")
+    retrieval.build_index(entries(spark, sf_dir), path)
+    return retrieval.search(spark, path, "the thatnd in heed", regime="trend", timeframe="daily", kind="scenario").select("id", R("score").alias("score"))
+
+
+@query("entry_by_title", f"WITH {_ENTRY} SELECT id, title, type FROM e WHERE lower(title) = (SELECT lower(title) FROM e ORDER BY id DESC LIMIT 1)")
+def entry_by_title(spark, sf_dir):
+    """The entries of one title, whatever its case: here that of the last one."""
+    own = entries(spark, sf_dir)
+    last = own.orderBy(F.desc("id")).limit(1).select(F.lower("title").alias("t"))
+    return own.join(F.broadcast(last), F.lower("title") == F.col("t")).select("id", "title", "type")
+
+
 @query("entry_prompt", f"WITH {_ENTRY_SCORE}, b AS (SELECT id, title, CASE WHEN s > 0 THEN s ELSE 0.02 END AS score FROM s ORDER BY score DESC, id LIMIT 5) SELECT string_agg('- ' || title || ' (' || printf('%.3f', score) || ')', chr(10) ORDER BY score DESC, id) AS prompt FROM b")
 def entry_prompt(spark, sf_dir):
     return knowledge.prompt(_best(spark, sf_dir))
@@ -447,13 +537,13 @@ def to_json_like(spark, sf_dir):
     return e.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("payload"))
 
 
-@query("news_collected", "WITH a AS (SELECT doc_id AS id, text[:80] AS title, doc_id % 365 AS t FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, text[:80] AS title, doc_id % 365 AS t FROM documents WHERE doc_id % 2 = 1 AND lang = 'en'), n AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY trim(title)[:40] ORDER BY id) AS k FROM n) SELECT id, t FROM f WHERE k = 1 ORDER BY t DESC, id LIMIT 50")
+@query("news_collected", "WITH a AS (SELECT doc_id AS id, text[:80] AS title, doc_id % 365 AS t FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, text[:80] AS title, doc_id % 365 AS t FROM documents WHERE doc_id % 2 = 1), n AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY trim(title)[:40] ORDER BY id) AS k FROM n) SELECT id, t FROM f WHERE k = 1 ORDER BY t DESC, id LIMIT 50")
 def news_collected(spark, sf_dir):
     """Two feeds together, one row a title, the newest first."""
     from marlstone.operators.text import dedup_prefix
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), (F.col("doc_id") % 365).alias("t"), "lang")
-    both = d.where("id % 2 = 0").unionByName(d.where("id % 2 = 1 and lang = 'en'"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), (F.col("doc_id") % 365).alias("t"))
+    both = d.where("id % 2 = 0").unionByName(d.where("id % 2 = 1"))
     return dedup_prefix(both).orderBy(F.desc("t"), "id").limit(50).select("id", "t")
 
 

@@ -170,10 +170,15 @@ def win_rate_last_n(spark, sf_dir):
     return d.groupBy("ticker").agg(R(F.avg((F.col("return_5d") > 0).cast("int"))).alias("win_rate"), F.count("*").alias("n"))
 
 
-@query("pending_decisions", f"WITH {DECISIONS} SELECT decision_id, ticker, decision_date FROM filled WHERE return_1d IS NULL AND return_3d IS NULL AND return_5d IS NULL AND return_10d IS NULL ORDER BY decision_date, decision_id LIMIT 200")
+_LATER = DECISIONS.replace("CAST(o_orderdate AS DATE) AS decision_date", "CAST(o_orderdate AS DATE) + 110 AS decision_date")
+
+
+@query("pending_decisions", f"WITH {_LATER} SELECT decision_id, ticker, decision_date FROM filled WHERE return_1d IS NULL AND return_3d IS NULL AND return_5d IS NULL AND return_10d IS NULL")
 def pending_decisions(spark, sf_dir):
-    d = decision_backfill(spark, sf_dir).where(" and ".join(f"return_{k}d is null" for k in (1, 3, 5, 10)))
-    return d.select("decision_id", "ticker", "decision_date").orderBy("decision_date", "decision_id").limit(200)
+    """Decisions, here taken 110 days later so that some come after the last bars, that no return is known of yet."""
+    later = decisions(spark, sf_dir).withColumn("decision_date", F.date_add("decision_date", 110))
+    d = backfill_returns(later, bars(spark, sf_dir)).where(" and ".join(f"return_{k}d is null" for k in (1, 3, 5, 10)))
+    return d.select("decision_id", "ticker", "decision_date")
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -43,10 +43,10 @@ def _fold(source, key="ticker", impact=False):
     on = " AND ".join(f"b.{k} = f.{k}" for k in key.split(", "))
     fk = ", ".join(f"f.{k}" for k in key.split(", "))
     return f"""bar AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date) AS i FROM {source} WHERE close IS NOT NULL),
-f AS (SELECT {key}, CAST(0 AS BIGINT) AS i, 1000000.0::DOUBLE AS cash, CAST(0 AS BIGINT) AS shares, 0.0::DOUBLE AS paid, NULL::DOUBLE AS pnl, NULL::DOUBLE AS v FROM (SELECT DISTINCT {key} FROM bar)
+f AS (SELECT {key}, CAST(0 AS BIGINT) AS i, 1000000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS paid, NULL::DOUBLE AS pnl, NULL::DOUBLE AS v FROM (SELECT DISTINCT {key} FROM bar)
  UNION ALL SELECT {fk}, b.i,
  CASE WHEN {buy} THEN f.cash - {n} * {ask} WHEN {sell} THEN f.cash + f.shares * {bid} ELSE f.cash END,
- CASE WHEN {buy} THEN CAST({n} AS BIGINT) WHEN {sell} THEN 0 ELSE f.shares END,
+ CASE WHEN {buy} THEN {n} WHEN {sell} THEN 0 ELSE f.shares END,
  CASE WHEN {buy} THEN {n} * {ask} ELSE f.paid END,
  CASE WHEN NOT ({buy}) AND {sell} THEN f.shares * {bid} - f.paid END,
  CASE WHEN {buy} THEN f.cash - {n} * {ask} + {n} * close WHEN {sell} THEN f.cash + f.shares * {bid} ELSE f.cash + f.shares * close END

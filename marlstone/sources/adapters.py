@@ -6,6 +6,7 @@ Nothing here reaches a network: an adapter gives DataFrames, wherever it gets th
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from typing import Protocol, runtime_checkable
 
@@ -17,7 +18,7 @@ KINDS = ("data", "research", "execution", "agent")
 
 @runtime_checkable
 class DataAdapter(Protocol):
-    """Bars, news and statements of a vendor. Columns are those of the logical tables."""
+    """Bars, news (id, title, tickers, published) and statements of a vendor."""
 
     def bars(self, spark: SparkSession, tickers: list[str], start=None, end=None) -> DataFrame: ...
     def news(self, spark: SparkSession, tickers: list[str], limit: int = 50) -> DataFrame: ...
@@ -76,7 +77,10 @@ class TableAdapter:
         return df if end is None else df.where(F.col("date") <= F.lit(end))
 
     def news(self, spark, tickers, limit=50):
-        return self._news(spark).orderBy(F.desc("published"), "id").limit(limit)
+        """The newest news that name one of the tickers; all without tickers."""
+        own = self._news(spark)
+        own = own.where(F.arrays_overlap("tickers", F.array(*map(F.lit, tickers)))) if tickers else own
+        return own.orderBy(F.desc("published"), "id").limit(limit)
 
     def statements(self, spark, tickers):
         return self._statements(spark).where(F.col("ticker").isin(list(tickers)))
@@ -103,23 +107,50 @@ def catalog(spark: SparkSession, database: str = "default") -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, n_rows long")
 
 
-def settings(text: str, environ: dict | None = None, prefix: str = "MARLSTONE_") -> dict[str, str]:
-    """Flat settings of indented "name: value" lines, nested names joined by dots; the environment overrides them."""
-    out: dict[str, str] = {}
+def _value(text: str):
+    """A setting's value: true, false, null, a number, a list in brackets, or text without its quotes and comment."""
+    text = text.strip()
+    if text[:1] in ("'", '"') and text.find(text[0], 1) > 0:
+        return text[1 : text.index(text[0], 1)]
+    text = re.split(r"\s#", text, maxsplit=1)[0].strip()
+    if text.startswith("[") and text.endswith("]"):
+        return [_value(x) for x in text[1:-1].split(",") if x.strip()]
+    if text.lower() in ("true", "false", "null", "~"):
+        return {"true": True, "false": False}.get(text.lower())
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def settings(text: str, environ: dict | None = None, prefix: str = "MARLSTONE_") -> dict[str, object]:
+    """Flat settings of indented "name: value" lines and "- item" lists, nested names joined by dots.
+
+    Values are typed; comments go. The environment overrides settings, and is typed alike.
+    """
+    out: dict[str, object] = {}
     stack: list[tuple[int, str]] = []
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         depth = len(line) - len(line.lstrip())
-        name, _, value = line.strip().partition(":")
+        item = line.strip()
+        if item.startswith("- "):
+            while stack and stack[-1][0] > depth:
+                stack.pop()
+            out.setdefault(".".join(n for _, n in stack), []).append(_value(item[2:]))
+            continue
+        name, _, value = item.partition(":")
         while stack and stack[-1][0] >= depth:
             stack.pop()
-        path = ".".join([n for _, n in stack] + [name])
-        if value.strip():
-            out[path] = value.strip().strip("\"'")
+        path = ".".join([n for _, n in stack] + [name.strip()])
+        if value.strip() and not value.strip().startswith("#"):
+            out[path] = _value(value)
         else:
-            stack.append((depth, name))
+            stack.append((depth, name.strip()))
     for k, v in (os.environ if environ is None else environ).items():
         if k.startswith(prefix):
-            out[k[len(prefix) :].lower().replace("__", ".")] = v
+            out[k[len(prefix) :].lower().replace("__", ".")] = _value(v)
     return out

@@ -220,26 +220,106 @@ def test_adapters(spark, tmp_path):
     assert len(loads) == 2
     assert adapters.scan_view(bars, "own_bars", "SELECT count(*) AS n FROM own_bars").first().n == 2
     text_ = "risk:\n  single: 0.05  \n  # note\nname: 'x'\nnested:\n  deep:\n    value: 3\n"
-    assert adapters.settings(text_, {"MARLSTONE_RISK__SINGLE": "0.1", "OTHER": "1"}) == {"risk.single": "0.1", "name": "x", "nested.deep.value": "3"}
+    assert adapters.settings(text_, {"MARLSTONE_RISK__SINGLE": "0.1", "OTHER": "1"}) == {"risk.single": 0.1, "name": "x", "nested.deep.value": 3}
+    more = "a: [1, two, 0.5]  # comment\nb:\n  - x # y\n  - 7\nc: 'no # comment'\nd: true\ne: ~\nf: # nothing\n  g: http://a#b"
+    assert adapters.settings(more, {}) == {"a": [1, "two", 0.5], "b": ["x", 7], "c": "no # comment", "d": True, "e": None, "f.g": "http://a#b"}
 
 
 def test_tools(spark, tmp_path):
     assert len(tools.TOOLS) == 48 and tools.listing(spark).count() == 48
     assert tools.resolve_ticker(" 12.sz ") == "000012" and tools.resolve_ticker("Brand#12") == "Brand#12"
     assert tools.call("get_quote", spark, SF, ticker="Brand#12").count() == 1
-    assert tools.call("get_history", spark, SF, ticker="Brand#12", start=DAY(1997, 1, 1)).count() > 0
-    assert [r.ticker for r in tools.call("search_tickers", spark, SF, word="brand#1", limit=3).collect()] == ["Brand#1", "Brand#10", "Brand#11"]
-    assert {r.n_name for r in tools.call("get_sector_stocks", spark, SF, sector="nation_1").collect()} <= {"NATION_1"}
-    assert tools.call("run_backtest", spark, SF, strategy="reversal", ticker="Brand#12").count() == 1
-    assert tools.call("search_events", spark, SF, event_type="click", limit=5).count() == 5
-    assert tools.call("wiki_search", spark, SF, query="the in", k=2).count() == 2
+    assert tools.call("get_history", spark, SF, ticker="Brand#12", days=7).count() == 7
+    assert [r.ticker for r in tools.call("search_tickers", spark, SF, query="brand#1").orderBy("ticker").collect()][:3] == ["Brand#1", "Brand#10", "Brand#11"]
+    assert {r.sector_name for r in tools.call("get_sector_stocks", spark, SF, sector_name="nation_1").collect()} <= {"NATION_1"}
+    day = DAY(1998, 1, 1)
+    whole = tools.call("run_backtest", spark, SF, strategy="reversal", ticker="Brand#12")
+    assert whole.count() == 1 and whole.collect() != tools.call("run_backtest", spark, SF, strategy="reversal", ticker="Brand#12", start_date=day).collect()
+    assert tools.call("run_backtest", spark, SF, ticker="Brand#12", end_date=day, dry_run=True).first().bars > 0
     at = f"file://{tmp_path}/bars"
-    first = tools.call("update_data_incremental", spark, SF, path=at).first().n_rows
-    assert first > 0 and tools.call("update_data_incremental", spark, SF, path=at).first().n_rows == 0
+    step = lambda **how: tools.call("update_data_incremental", spark, SF, path=at, **how).first()
+    planned = step(target_date=day, dry_run=True)
+    assert step(target_date=day) == planned and planned.rows_added > 0
+    assert step(target_date=day).rows_added == 0 and step().rows_added > 0 and step().keys_updated == 0
+    sums = tools.call("run_brinson_attribution", spark, SF, portfolio_weights={"a": 0.6, "b": 0.4}, benchmark_weights={"a": 0.5, "b": 0.5}, portfolio_returns={"a": 0.1, "b": 0.0}, benchmark_returns={"a": 0.05, "b": 0.01})
+    assert {r.sector for r in sums.collect()} == {"a", "b"}
     with pytest.raises(KeyError):
         tools.call("none", spark, SF)
     names = {t.name for t in tools.TOOLS.values()}
     assert {"get_market_regime", "compute_committee_consensus", "get_factor_collinearity", "run_stress_test"} <= names
+    for bad in ({"word": "x"}, {"query": "x", "most": 3}):
+        with pytest.raises(Exception):
+            tools.call("search_tickers", spark, SF, **bad)
+    with pytest.raises(TypeError):
+        tools.call("run_backtest", spark, SF, begin=day)
+
+
+#: Parameters of a call of each table function that has any without a default.
+CALLS = {"ticker": "Brand#12", "query": "the thatnd in heed", "sector_name": "NATION_3", "strategy_name": "momentum"}
+
+
+def test_every_table_function(spark):
+    """Each is called with its own parameters from SQL and gives its own columns."""
+    tools.register(spark, SF)
+    seen = {}
+    for t in tools.TOOLS.values():
+        if t.run:
+            continue
+        needed = [p.split()[0] for p in t.parameters.split(", ") if p and "DEFAULT" not in p]
+        df = spark.sql(f"SELECT * FROM {t.name}({', '.join(f'{p} => :{p}' for p in needed)})", args={p: "brand" if t.name == "search_tickers" else CALLS[p] for p in needed})
+        seen[t.name] = df
+        assert df.columns == [c.split()[0] for c in t.columns.split(", ")], t.name
+        assert t.name in ("get_daily_report", "search_hypotheses") or not df.isEmpty(), t.name
+    closes = [r.close for r in seen["get_history"].orderBy("date").collect()]
+    assert len(closes) == 60 and seen["get_quote"].first().close == closes[-1]
+    assert spark.sql("SELECT * FROM get_factor_collinearity(threshold => 0.999, days => 4000)").count() < spark.sql("SELECT * FROM get_factor_collinearity(0.3, days => 4000)").count()
+    assert spark.sql("SELECT * FROM get_financials('Brand#12', report_type => 'ratio')").select("item").distinct().count() == 2
+    best = knowledge.score_entries(library.entries(spark, SF), "the thatnd in heed", k=3).collect()
+    assert [(r.id, round(r.score, 9)) for r in spark.sql("SELECT * FROM wiki_search('the thatnd in heed') ORDER BY score DESC, id").collect()] == [(r.id, round(r.score, 9)) for r in best]
+    plan = spark.sql("SELECT * FROM get_quote('Brand#12')")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Brand#12" in plan
+
+
+def test_news_of_an_adapter(spark):
+    rows = [(1, "a", ["A"], DAY(2024, 1, 1)), (2, "b", ["B", "A"], DAY(2024, 1, 3)), (3, "c", None, DAY(2024, 1, 4))]
+    news = adapters.TableAdapter(None, lambda s: s.createDataFrame(rows, "id long, title string, tickers array<string>, published date"))
+    assert [r.id for r in news.news(spark, ["A"]).collect()] == [2, 1] and [r.id for r in news.news(spark, [], 1).collect()] == [3]
+
+
+def test_search_by_index_like_a_scan(spark, tmp_path):
+    """The index gives what scoring every entry gives, and reads only the words' buckets and the blocks that can matter."""
+    import random
+
+    from marlstone.operators import retrieval
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    pick = lambda n: [rng.choice(words) if rng.random() < 0.6 else f"rare{rng.randrange(3000)}" for _ in range(n)]
+    rows = [(k, " ".join(pick(4)), pick(2), pick(1) if k % 3 else None, " ".join(pick(30)), "scenario" if k % 2 else "entity", rng.sample(["trend", "Extreme Trend", "oscillating"], 1) if k % 5 else None, ["daily"] if k % 4 else ["all"]) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, title string, keywords array<string>, tags array<string>, content string, type string, market_regime array<string>, timeframe array<string>").cache()
+    path = f"file://{tmp_path}/index"
+    retrieval.build_index(df, path, buckets=16, block=20)
+    queries = [("w1 w2 w3", "trend", "daily", "scenario"), ("w1", None, None, None), ("rare7 rare8", None, None, "entity"), ("nothing here at all", None, None, None), ("", "trend", None, "scenario"), ("W5 w5 w6", None, "daily", None), ("", None, None, None)]
+    for q, regime_, timeframe, kind in queries:
+        want = [(r.id, round(r.score, 12)) for r in knowledge.score_entries(df, q, regime_, timeframe, kind).collect()]
+        got = [(r.id, round(r.score, 12)) for r in retrieval.search(spark, path, q, regime_, timeframe, kind, buckets=16).collect()]
+        assert got == want, q
+    stored = retrieval._stored(spark, path, "postings", ["w1", "w2"], 16)
+    assert "bucket" in stored._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_batches_are_run_and_saved(spark, tmp_path):
+    from marlstone.plans.factors import panel
+
+    own = panel(spark, SF, ["momentum_20d", "momentum_5d", "reversal_20d"]).where("ticker in ('Brand#11', 'Brand#12')")
+    short = own.where("ticker = 'Brand#11'").limit(20).withColumn("ticker", F.lit("short"))
+    b = backtest.batch(own.unionByName(short), ["momentum", "reversal"])
+    rows = {(r.strategy, r.ticker): r for r in b.collect()}
+    assert rows["momentum", "short"].outcome == "too_short" and rows["momentum", "short"].total_return is None
+    assert all(r.trade_count is not None for r in rows.values() if r.outcome == "run") and any(r.outcome == "run" for r in rows.values())
+    runs = b.where("outcome = 'run'").select(F.concat_ws("_", "strategy", "ticker").alias("run_id"), F.create_map(F.lit("strategy"), "strategy").alias("params"), F.array().cast("array<struct<date:date,equity:double>>").alias("curve"), "total_return")
+    sinks.save_run(runs, f"file://{tmp_path}/runs")
+    assert spark.read.parquet(f"file://{tmp_path}/runs/runs").count() == runs.count()
 
 
 def test_conform(spark):

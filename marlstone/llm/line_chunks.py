@@ -1,14 +1,21 @@
-"""Repeated passages, by content-defined runs of lines.
-
-From every line on, and up to every line, the shortest run of lines that has enough words is a unit: its other end
-depends on its own lines alone, so that it survives any shift. Units are counted by hash over the whole corpus; those
-that repeat have their bytes compared, and all but the first are removed. Every line of a repeated passage of enough
-words is in a unit that lies within the passage, so that passages go whole, wherever they begin and end.
+"""Repeated passages, by content-defined chunks of lines.
+
+A rolling hash over line hashes runs over the texts: that of the shortest run of lines from each line on that has so
+many words. A line is a border if its hash is the least among those of the lines in the next so many words, so that
+borders depend on what stands around them alone and survive any shift; the run that begins there is a chunk. Chunks are
+counted by hash over the whole corpus. Those that repeat are extended line by line, to the shortest runs of lines with
+enough words that begin or end at each line around them; such runs that repeat have their bytes compared, and all but
+the first are removed.
+
+Nothing is lost by way of the chunks. A passage of enough words is covered by runs within it, of twice a chunk's words;
+the border that is chosen from a run's first line, and the chunk there, lie within the run, and so are the same wherever
+it stands: a run repeats only if its chunk does. So passages go whole, wherever they begin and end.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import deque
 
 import pyarrow as pa
 import xxhash
@@ -19,49 +26,69 @@ from .common import dropped, in_pieces, plain, table, written
 
 #: Words that a passage needs to be removed.
 HEAVY = 24
-#: One border of chunks() in so many lines, on average, among the lighter ones.
-SPACING = 2
+#: What a rolling hash is multiplied by for each line.
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+class Rolling:
+    """Hashes of any run of some lines, from sums of the line hashes that roll along; runs by words."""
+
+    def __init__(self, lines: list[bytes]):
+        self.words = [0, *itertools.accumulate(line.count(b" ") + 1 if line else 0 for line in lines)]
+        self.sums, self.powers = [0], [1]
+        for line in lines:
+            self.sums.append((self.sums[-1] * _BASE + xxhash.xxh3_64_intdigest(line)) & _MASK)
+            self.powers.append(self.powers[-1] * _BASE & _MASK)
+
+    def __call__(self, a: int, b: int) -> int:
+        h = (self.sums[b] - self.sums[a] * self.powers[b - a]) & _MASK
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _MASK  # so that the least hash is any line's with the same chance
+        h ^= h >> 32
+        return h - (1 << 64) if h >> 63 else h
+
+    def ends(self, least: int) -> list[int]:
+        """Of each line on which a run of so many words begins, the end of the shortest; the last lines may have none."""
+        out, b, n = [], 0, len(self.words) - 1
+        for a in range(n):
+            b = max(b, a + 1)
+            while b < n and self.words[b] - self.words[a] < least:
+                b += 1
+            if self.words[b] - self.words[a] < least:
+                break
+            out.append(b)
+        return out
+
+
+def borders(roll: Rolling, words: int) -> tuple[list[int], list[int], list[int]]:
+    """The border chosen from each line, the ends of the chunks of so many words that begin at lines, and their hashes."""
+    ends = roll.ends(words)
+    hashes = [roll(a, b) for a, b in enumerate(ends)]
+    chosen, least, j = [], deque(), 0
+    for a in range(len(ends)):
+        while j < len(ends) and (j <= a or roll.words[j] - roll.words[a] <= words):
+            while least and hashes[least[-1]] > hashes[j]:
+                least.pop()
+            least.append(j)
+            j += 1
+        while least[0] < a:
+            least.popleft()
+        chosen.append(least[0])
+    return chosen, ends, hashes
 
 
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line)
+def chunks(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int, int]]:
+    """(first line, end, words) of the chunks at the borders."""
+    roll = Rolling(lines)
+    chosen, ends, _ = borders(roll, heavy // 2)
+    return [(a, ends[a], roll.words[ends[a]] - roll.words[a]) for a in dict.fromkeys(chosen)]
 
 
-def chunks(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int, int]]:
-    """(first line, end, words) of chunks with borders by a rolling hash of two lines; passages are not found by these."""
-    out = []
-    start = words = 0
-    before = 0
-    n = len(lines)
-    weight = [line.count(b" ") + 1 if line else 0 for line in lines]
-    for i in range(n):
-        own = line_hash(lines[i])
-        words += weight[i]
-        rolling = (own + 0x9E3779B97F4A7C15 * before) & 0xFFFFFFFFFFFFFFFF
-        before = own
-        if i == n - 1 or weight[i] >= heavy or weight[i + 1] >= heavy or (rolling >> 17) % SPACING == 0:
-            out.append((start, i + 1, words))
-            start, words = i + 1, 0
-            if weight[i] >= heavy:
-                before = 0
-    return out
-
-
-def units(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int]]:
+def units(roll: Rolling, heavy: int = HEAVY) -> list[tuple[int, int]]:
     """(first line, end) of the shortest heavy run from each line on, and of the shortest up to each line."""
-    total = [0, *itertools.accumulate(line.count(b" ") + 1 if line else 0 for line in lines)]
-    out = {}
-    a = b = 0
-    n = len(lines)
-    for a in range(n):
-        b = max(b, a + 1)
-        while b < n and total[b] - total[a] < heavy:
-            b += 1
-        if total[b] - total[a] < heavy:
-            break
-        out[a, b] = None
+    out = dict.fromkeys(enumerate(roll.ends(heavy)))
+    total = roll.words
     a = 0
-    for b in range(1, n + 1):
+    for b in range(1, len(total)):
         while a + 1 < b and total[b] - total[a + 1] >= heavy:
             a += 1
         if total[b] - total[a] >= heavy:
@@ -69,11 +96,6 @@ def units(lines: list[bytes], heavy: int = HEAVY) -> list[tuple[int, int]]:
     return list(out)
 
 
-def unit_hash(lines: list[bytes]) -> int:
-    h = xxhash.xxh64_intdigest(b"\n".join(lines), 7)
-    return h - (1 << 64) if h >> 63 else h
-
-
 _KEYS = "_ms_id long, _ms_text long"
 
 
@@ -82,19 +104,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_ms_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_ms_text", F.xxhash64("text"))
 
 
-def _occurrences(docs: DataFrame, heavy: int) -> DataFrame:
+def _chunked(docs: DataFrame, heavy: int) -> DataFrame:
+    """(row, chunk, runs) of every chunk, with the runs that it is extended to if it repeats."""
+    run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64())]))
+
     def run(batches):
         for batch in in_pieces(batches):
-            rows = ([], [], [], [], [])
+            rows = ([], [], [], [])
             for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                lines = text.as_py().split(b"\n")
-                for a, b in units(lines, heavy):
-                    for column, value in zip(rows, (key, h, a, b, unit_hash(lines[a:b]))):
+                roll = Rolling(text.as_py().split(b"\n"))
+                own = units(roll, heavy)
+                if not own:
+                    continue
+                chosen, _, hashes = borders(roll, heavy // 2)
+                by_border = {}
+                for a, b in own:
+                    by_border.setdefault(chosen[a], []).append({"a": a, "b": b, "h": roll(a, b)})
+                for border, found in by_border.items():
+                    for column, value in zip(rows, (key, h, hashes[border], found)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["_ms_id", "_ms_text", "a", "b", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), run_type))], ["_ms_id", "_ms_text", "chunk", "runs"])
+
+    return docs.where("text is not null").select("_ms_id", "_ms_text", "text").mapInArrow(run, f"{_KEYS}, chunk long, runs array<struct<a:int,b:int,h:long>>")
+
 
-    return docs.where("text is not null").select("_ms_id", "_ms_text", "text").mapInArrow(run, f"{_KEYS}, a int, b int, h long")
+def _occurrences(chunked: DataFrame) -> DataFrame:
+    """(row, a, b, h) of the runs around chunks that repeat; hashes are counted before anything is shuffled."""
+    repeated = chunked.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
+    return chunked.join(repeated, "chunk", "left_semi").select("_ms_id", "_ms_text", F.explode("runs").alias("u")).select("_ms_id", "_ms_text", "u.*")
 
 
 def _apply(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -147,8 +184,9 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     through, but for those whose names begin as the operators' own do.
     """
     keyed = _keyed(plain(docs).drop("n_removed_lines"))
-    found = written(_occurrences(keyed, heavy), "units")
-    # hashes are counted before anything is shuffled; most occur once
+    chunked = written(_chunked(keyed, heavy), "chunks")
+    found = written(_occurrences(chunked), "runs")
+    dropped(chunked)
     place = F.struct("_ms_id", "_ms_text", "a", "b")
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = written(found.join(repeated, "h", "left_semi"), "again")

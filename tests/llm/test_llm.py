@@ -465,8 +465,8 @@ def test_line_chunks_with_colliding_hashes(spark, monkeypatch):
     rows = [(i, " ".join(f"{k}w{j}" for j in range(30))) for i, k in enumerate((1, 2, 1, 3, 2))]
     found = line_chunks._occurrences
 
-    def poor(docs, heavy):  # every unit meets under one of two hashes
-        return found(docs, heavy).withColumn("h", F.pmod("h", F.lit(2)))
+    def poor(chunked):  # all texts are one chunk, and every run meets under one of two hashes
+        return found(chunked.withColumn("chunk", F.lit(0).cast("long"))).withColumn("h", F.pmod("h", F.lit(2)))
 
     monkeypatch.setattr(line_chunks, "_occurrences", poor)
     got = {r.doc_id: r.text for r in line_chunks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -477,7 +477,52 @@ def test_shifted_chunks_are_equal():
     lines = [f"line {i * i} of text".encode() for i in range(60)]
     a, b = line_chunks.chunks(lines), line_chunks.chunks([b"new"] + lines)
     cut = lambda own, shift: {(x - shift, y - shift) for x, y, _ in own}
-    assert len(cut(a, 0) & cut(b, 1)) >= len(a) - 2
+    assert len(cut(a, 0) & cut(b, 1)) >= len(a) - 2 and 5 < len(a) < 40
+
+
+def test_the_chunk_of_a_run_is_within_it_wherever_it_stands():
+    rng = np.random.default_rng(9)
+    line = lambda n: b" ".join(b"%d" % k for k in rng.integers(0, 30, n))
+    for _ in range(300):
+        passage = [line(int(n)) for n in rng.choice([0, 1, 2, 5, 9, 14, 30], int(rng.integers(1, 12)))]
+        seen = {}
+        for place in range(3):
+            before = [line(int(n)) for n in rng.integers(0, 15, int(rng.integers(0, 5)))]
+            roll = line_chunks.Rolling(before + passage + [line(6) for _ in range(int(rng.integers(0, 4)))])
+            chosen, ends, hashes = line_chunks.borders(roll, 12)
+            for a, b in line_chunks.units(roll, 24):
+                assert a <= chosen[a] < ends[chosen[a]] <= b
+                if len(before) <= a and b <= len(before) + len(passage):
+                    seen.setdefault((a - len(before), b - len(before), roll(a, b)), set()).add(hashes[chosen[a]])
+        assert all(len(own) == 1 for own in seen.values())
+
+
+def test_line_chunks_by_reading_every_run(spark, docs):
+    """All runs of all documents in one table, by their bytes."""
+    runs, lines = {}, {d: (t or "").split("\n") for d, t in docs.items()}
+    places = []
+    for d in sorted(docs):
+        if docs[d] is None:
+            continue
+        weight = [len(x.split(" ")) if x else 0 for x in lines[d]]
+        found = set()
+        for a in range(len(weight)):
+            b = next((b for b in range(a + 1, len(weight) + 1) if sum(weight[a:b]) >= 24), None)
+            found |= {(a, b)} if b else set()
+            e = next((e for e in range(a, -1, -1) if sum(weight[e : a + 1]) >= 24), None)
+            found |= {(e, a + 1)} if e is not None else set()
+        for a, b in sorted(found):
+            places.append((d, a, b))
+            runs.setdefault("\n".join(lines[d][a:b]), []).append((d, a, b))
+    gone = {d: set() for d in docs}
+    for own in runs.values():
+        d, _, end = first = min(own)
+        for p in own:
+            if p != first:
+                gone[p[0]] |= set(range(max(p[1], end) if p[0] == d else p[1], p[2]))
+    want = {d: None if docs[d] is None else "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d]) for d in docs}
+    assert sum(map(len, gone.values())) > 5
+    assert {r.doc_id: r.text for r in line_chunks.op6_line_chunks(spark, SF).collect()} == want
 
 
 def test_near_copies(spark, none):

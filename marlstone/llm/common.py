@@ -76,16 +76,12 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_pieces(batches, rows: int = 512):
-    """Arrow batches cut into smaller ones; what a worker is done with goes back to the system at the end, as Spark
-    uses workers again and again."""
+def release() -> None:
+    """Give what a worker is done with back to the system, as Spark uses workers again and again."""
     import ctypes
 
     import pyarrow as pa
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -93,6 +89,14 @@ def in_pieces(batches, rows: int = 512):
         pass
 
 
+def in_pieces(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones; memory goes back to the system at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
 def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, dropped, in_pieces, written
+from .common import Scratch, dropped, in_pieces, release, written
 from .components import components
 from .simhash import _LANES, DEEPER, HOT, trie_pairs
 
@@ -39,7 +39,7 @@ WIDTH = BITS // BLOCKS
 REST = BITS - WIDTH
 #: Fingerprints of a trie's leaf, and pairs that a task makes at once.
 LEAF = 512
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Texts to be compared whose ids are sent to all executors, 8 bytes each; with more, the join is left to Spark.
 BROADCAST_IDS = 1 << 20
 #: Texts of fewer shingles are compared exactly, and so with those of up to a quarter more, which could be similar.
@@ -324,6 +324,8 @@ def _candidates(seen: DataFrame, labels: DataFrame, pick) -> DataFrame:
                 last = head[-1]
         if held:
             yield from _found(held, pick)
+        held = []
+        release()
 
     cold = rows.where(~block.isin(hot)) if hot else rows
     found = cold.repartition(block).sortWithinPartitions("k").mapInArrow(run, "a long, b long")

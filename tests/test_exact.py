@@ -216,3 +216,36 @@ def test_sketches_near_exact_counts_and_late_events(spark, tmp_path):
         users = len({u for _, u in inside if u is not None})
         assert got[end][1] == len(inside) and abs(got[end][0] - users) <= max(1, 4 * sketches.error() * users)
     assert statistics.mean(v[0] for v in got.values()) > 500
+
+
+def test_bucketed_tables_need_no_exchange(spark, tmp_path):
+    """Panels and joins with factors on tables in buckets have none, as-of joins one; the same rows as without."""
+    from marlstone.operators import factors
+    from marlstone.operators.align import asof_join
+    from marlstone.plans.views import bars, fundamentals
+    from marlstone.sources.buckets import exchanges, save_bucketed
+
+    plain_bars, plain_reports = bars(spark, SF), fundamentals(spark, SF)
+    own = save_bucketed(plain_bars, "t_bars", f"{tmp_path}/bars", buckets=4)
+    reports = save_bucketed(plain_reports, "t_reports", f"{tmp_path}/reports", order="report_date", buckets=4)
+    try:
+        names = ["momentum_20d", "rsi_14", "volatility_20d"]
+        panel = factors.compute(own, names)
+        assert exchanges(panel) == 0 and exchanges(factors.compute(plain_bars, names)) > 0
+        rows = lambda df: sorted(map(str, df.select("ticker", "date", *[F.round(n, 6).alias(n) for n in names]).collect()))
+        assert rows(panel) == rows(factors.compute(plain_bars, names))
+        known = asof_join(own, reports, ["revenue", "eps"])
+        assert exchanges(known) == 1  # a union keeps no partitioning
+        shown = lambda df: sorted(map(str, df.select("ticker", "date", "revenue", "eps").collect()))
+        assert len(shown(known)) == own.count() and {s.split("revenue")[0] for s in shown(known)} == {s.split("revenue")[0] for s in shown(asof_join(plain_bars, plain_reports, ["revenue", "eps"]))}
+        stored = save_bucketed(panel.select("ticker", "date", "rsi_14"), "t_factors", f"{tmp_path}/factors", buckets=4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        assert exchanges(own.join(stored, ["ticker", "date"])) == 0
+        one = factors.compute(own.where("ticker = 'Brand#12'"), names)
+        assert "SelectedBucketsCount: 1 out of 4" in one._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        for t in ("t_bars", "t_reports", "t_factors"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")

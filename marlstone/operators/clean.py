@@ -112,7 +112,15 @@ def clean_factors(df: DataFrame, columns: list[str], macro: list[str] = (), by:
     return own.fillna({c: 0.0 for c in macro})
 
 
-def clean_valuation(df: DataFrame, pe: str, others: list[str], by: list[str] | None = None) -> DataFrame:
+def clean_valuation(df: DataFrame, pe: str, others: dict[str, tuple], by: list[str] | None = None) -> DataFrame:
+    """Infinities, ratios, medians, quantiles 2 and 98 %, then ranges: of ``others`` those given."""
     columns = [pe, *others]
     own = fill_missing(repair_pe(drop_infinite(df, columns), pe, by), columns, by=by)
-    return clip_by_range(winsorize(own, columns, 0.02, 0.98, by), {pe: (0, 200), **{c: (0, None) for c in others}})
+    return clip_by_range(winsorize(own, columns, 0.02, 0.98, by), {pe: (0, 200), **others})
+
+
+def clean_daily(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Bars as they are stored: clean_ohlcv, infinities, medians, then the ranges of changes and of turnover."""
+    columns = [c for c in (*PRICES, "volume", "amount", "pct_change", "turnover") if c in df.columns]
+    own = fill_missing(drop_infinite(clean_ohlcv(df), columns), columns, by=by)
+    return clip_by_range(own, {"pct_change": (-20, 20), "turnover": (0, 50)})

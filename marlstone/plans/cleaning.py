@@ -90,6 +90,40 @@ def clean_factor_recipe(spark, sf_dir):
     return clean.clean_factors(p, ["f"]).select("entity", R("f").alias("f"))
 
 
+_DAILY = f"""{DIRTY}, extra AS (SELECT *, CASE WHEN datediff('day', DATE '1990-01-01', date) % 19 <> 0 THEN (datediff('day', DATE '1990-01-01', date) % 97 - 48)::DOUBLE END AS pct_change, (datediff('day', DATE '1990-01-01', date) % 61)::DOUBLE AS turnover FROM dirty),
+kept AS (SELECT ticker, date, CASE WHEN open > 0 THEN open END AS open, CASE WHEN high > 0 AND (low <= 0 OR high >= low) THEN high END AS high, CASE WHEN low > 0 AND (high <= 0 OR high >= low) THEN low END AS low, close, greatest(volume, 0) AS volume, pct_change, turnover FROM extra WHERE close IS NOT NULL),
+med AS (SELECT ticker, quantile_cont(open, 0.5) AS o, quantile_cont(high, 0.5) AS h, quantile_cont(low, 0.5) AS l, quantile_cont(pct_change, 0.5) AS p FROM kept GROUP BY ticker)"""
+
+
+@query("clean_daily", f"WITH {_DAILY} SELECT k.ticker, date, round(coalesce(open, o), 8) AS open, round(coalesce(high, h), 8) AS high, round(coalesce(low, l), 8) AS low, round(close, 8) AS close, volume, least(greatest(coalesce(pct_change, p), -20), 20) AS pct_change, least(turnover, 50) AS turnover FROM kept k JOIN med m ON m.ticker = k.ticker")
+def clean_daily(spark, sf_dir):
+    k = F.datediff("date", F.lit("1990-01-01").cast("date"))
+    d = dirty(spark, sf_dir).withColumns({"pct_change": F.when(k % 19 == 0, F.lit(float("inf"))).otherwise((k % 97 - 48).cast("double")), "turnover": (k % 61).cast("double")})
+    own = clean.clean_daily(d, by=["ticker"])
+    return own.select("ticker", "date", *[R(c, 8).alias(c) for c in clean.PRICES], "volume", "pct_change", "turnover")
+
+
+@query("clean_valuation", f"""WITH {XSEC}, v AS (SELECT entity, CASE WHEN entity % 13 <> 0 AND entity % 17 <> 0 THEN cap / 10 - 120 END AS pe, CASE WHEN entity % 11 <> 0 THEN f_revenue / 100000 END AS pb FROM xsec), u AS (SELECT * FROM v WHERE pe IS NOT NULL OR pb IS NOT NULL),
+pm AS (SELECT quantile_cont(pe, 0.5) AS m FROM u WHERE pe > 0), r AS (SELECT entity, CASE WHEN pe IS NOT NULL THEN least(greatest(CASE WHEN pe < 0 THEN coalesce(m, pe) ELSE pe END, 0), 200) END AS pe, pb FROM u, pm), md AS (SELECT quantile_cont(pe, 0.5) AS a, quantile_cont(pb, 0.5) AS b FROM r),
+f AS (SELECT entity, coalesce(pe, a) AS pe, coalesce(pb, b) AS pb FROM r, md), q AS (SELECT quantile_cont(pe, 0.02) AS p0, quantile_cont(pe, 0.98) AS p1, quantile_cont(pb, 0.02) AS b0, quantile_cont(pb, 0.98) AS b1 FROM f)
+SELECT entity, round(least(greatest(least(greatest(pe, p0), p1), 0), 200), 8) AS pe, round(least(greatest(least(greatest(pb, b0), b1), 0), 30), 8) AS pb FROM f, q""")
+def clean_valuation(spark, sf_dir):
+    """Ratios with gaps, infinities and negative values."""
+    e = F.col("entity")
+    pe = F.when(e % 13 == 0, F.lit(float("nan"))).when(e % 17 == 0, F.lit(float("-inf"))).otherwise(F.col("cap") / 10 - 120)
+    v = xsec(spark, sf_dir).select("entity", pe.alias("pe"), F.when(e % 11 != 0, F.col("f_revenue") / 100000).alias("pb"))
+    return clean.clean_valuation(v, "pe", {"pb": (0, 30)}).select("entity", R("pe", 8).alias("pe"), R("pb", 8).alias("pb"))
+
+
+@query("clean_macro", f"WITH {XSEC}, p AS (SELECT entity, CASE WHEN entity % 7 <> 0 THEN f_discount END AS f, CASE WHEN entity % 5 = 0 THEN cap END AS rate FROM xsec), m AS (SELECT quantile_cont(f, 0.5) AS a, quantile_cont(rate, 0.5) AS b FROM p), g AS (SELECT entity, coalesce(f, a) AS f, coalesce(rate, b) AS rate FROM p, m WHERE f IS NOT NULL OR rate IS NOT NULL), q AS (SELECT quantile_cont(f, 0.01) AS f0, quantile_cont(f, 0.99) AS f1, quantile_cont(rate, 0.01) AS r0, quantile_cont(rate, 0.99) AS r1 FROM g) SELECT entity, round(least(greatest(f, f0), f1), 6) AS f, round(least(greatest(rate, r0), r1), 4) AS rate, 0.0::DOUBLE AS missing FROM g, q")
+def clean_macro(spark, sf_dir):
+    """A factor with macro columns: one with gaps, which takes its median, and one that is never known, which is zero."""
+    e = F.col("entity")
+    p = xsec(spark, sf_dir).select("entity", F.when(e % 7 != 0, F.col("f_discount")).alias("f"), F.when(e % 5 == 0, F.col("cap")).alias("rate"), F.lit(None).cast("double").alias("missing"))
+    own = clean.clean_factors(p, ["f", "rate", "missing"], macro=["rate", "missing"])
+    return own.select("entity", R("f").alias("f"), R("rate", 4).alias("rate"), "missing")
+
+
 @query("clip_range", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_discount * 100, 2), 8), 6) AS pct, greatest(l_quantity, 10) AS quantity FROM lineitem")
 def clip_range(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 100).alias("pct"), F.col("l_quantity").alias("quantity"))

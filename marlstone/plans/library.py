@@ -372,7 +372,7 @@ SELECT '---' || chr(10) || 'report_id: rpt_' || strftime(date, '%Y%m%d') || '_ma
  || chr(10) || chr(10) || '## 5. Events' || chr(10) || (SELECT string_agg('- [' || event_type || '] ' || n, chr(10) ORDER BY -n, event_type) FROM ev)
  || chr(10) || chr(10) || '## 6. Sentiment' || chr(10) || (SELECT string_agg('- ' || event_type || printf(': %.2f', v), chr(10) ORDER BY event_type) FROM ev)
  || chr(10) || chr(10) || '## 7. Method' || chr(10) || (SELECT string_agg('- ' || title, chr(10) ORDER BY -score, id) FROM sc)
- || chr(10) || chr(10) || '## 8. Prediction' || chr(10) || (SELECT CASE WHEN avg(v) > 0.02 THEN 'bullish' WHEN avg(v) < -0.02 THEN 'bearish' ELSE 'neutral' END FROM mo) || ', ' || (SELECT w || ' of ' || n FROM ac) || ' recent decisions right' AS report FROM ld, td"""
+ || chr(10) || chr(10) || '## 8. Prediction' || chr(10) || (SELECT CASE WHEN avg(v) > 0.02 THEN 'bullish' WHEN avg(v) < -0.02 THEN 'bearish' ELSE 'neutral' END FROM mo) || ', ' || (SELECT coalesce(w, 0) || ' of ' || n FROM ac) || ' recent decisions right' AS report FROM ld, td"""
 
 
 @query("daily_report", _DAILY)

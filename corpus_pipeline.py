@@ -6,6 +6,8 @@ the next one's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,20 @@ from marlstone.llm.near_copies import keep_one
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.toxicity import toxicity
 
+#: Rows that go to a Python worker at once; texts are long, and what a batch takes stays with the executor.
+BATCH = 2000
+
+
+def in_small_batches(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@in_small_batches
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labels, takes for toxic go.
 
@@ -27,6 +42,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("p_toxic <= 0.5").select(*docs.columns)
 
 
+@in_small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of lines that occurred before go; every document stays, with its n_chars counted again.
 
@@ -36,6 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@in_small_batches
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: five-word shingles, similarity of 0.8 or more.
 
@@ -45,6 +62,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_one(docs)
 
 
+@in_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten words in a row of a benchmark item, or a whole shorter item, go.
 
@@ -53,6 +71,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents, packed into sequences of 1024 ids; a null or empty text is its end id."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import dropped, written
+
 
 def content_key(title: Column, content: Column) -> Column:
     return F.substring(F.md5(F.concat(title, content).cast("binary")), 1, 16)
@@ -36,7 +38,8 @@ def dedup_similar(news: DataFrame, threshold: float = 0.8) -> DataFrame:
     Of titles of equal words only the first can stay, so that these are one from the start and are never paired.
     Candidates share one of the rarest words that two so similar titles must share (prefix filter). A title falls as
     soon as one that stays is near and before it; those with no open title before them stay. Chains settle from the
-    front, a link a round, and every round settles some. Titles without words, and null ones, all stay.
+    front, a link a round, and every round settles some. What a round leaves is written, so that plans stay as small as
+    the first one's. Titles without words, and null ones, all stay.
     """
     titled = news.select("id", F.array_sort(title_tokens(F.col("title"))).alias("t")).where(F.size("t") > 0)
     own = titled.groupBy("t").agg(F.min("id").alias("id"))
@@ -44,24 +47,25 @@ def dedup_similar(news: DataFrame, threshold: float = 0.8) -> DataFrame:
     rarity = words.groupBy("w").agg(F.count("*").alias("n"))
     ordered = words.join(rarity, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("o"))
     need = F.size("o") - F.ceil(F.size("o") * threshold).cast("int") + 1
-    prefix = ordered.select("id", F.explode(F.slice("o", F.lit(1), need)).alias("p")).select("id", "p.w")
+    prefix = ordered.select("id", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), need)).alias("p")).select("id", "n", "p.w")
     sets = own.select("id", "t")
-    cand = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    sizes = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")
+    cand = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = cand.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    open_ = both.where(shared >= F.lit(threshold) * (F.size("ta") + F.size("tb") - shared)).select("a", "b").persist()
-    fallen = open_.select(F.col("b").alias("id")).limit(0).persist()
+    open_ = written(both.where(shared >= F.lit(threshold) * (F.size("ta") + F.size("tb") - shared)).select("a", "b"), "similar")
+    fallen = open_.select(F.col("b").alias("id")).limit(0)
+    paths = []
     while not open_.isEmpty():
         # those of the open pairs that nothing open precedes stay
         stays = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")), "id", "left_anti")
-        falls = open_.join(stays, open_.a == stays.id, "left_semi").select(F.col("b").alias("id")).distinct()
-        more = fallen.unionByName(falls).persist()
-        gone = falls.unionByName(stays)
-        rest = open_.join(gone, open_.a == gone.id, "left_anti").join(falls, F.col("b") == falls.id, "left_anti").select("a", "b").persist()
-        more.count(), rest.count()  # before what they are made of goes
-        for old in (open_, fallen):
-            old.unpersist()
-        open_, fallen = rest, more
+        falls = written(open_.join(stays, open_.a == stays.id, "left_semi").select(F.col("b").alias("id")).distinct(), "fallen")
+        paths.append(falls._path)
+        fallen = falls.sparkSession.read.schema(falls.schema).parquet(*paths)
+        # the pairs of one that stays go too, as their other title has fallen
+        rest = written(open_.join(falls, open_.a == falls.id, "left_anti").join(falls, F.col("b") == falls.id, "left_anti").select("a", "b"), "similar")
+        dropped(open_)
+        open_ = rest
     copies = titled.join(own.select("id"), "id", "left_anti").select("id")
     return news.join(fallen.unionByName(copies), "id", "left_anti")
 

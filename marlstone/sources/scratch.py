@@ -25,4 +25,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table of the shared folder, read again: its lineage ends here."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing will read it again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

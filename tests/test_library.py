@@ -86,6 +86,15 @@ def test_similar_titles_like_a_loop(spark):
     assert sorted(r.id for r in got.collect()) == kept
 
 
+def test_chain_of_similar_titles_keeps_plans_small(spark):
+    chain = [(i, " ".join(f"w{k}" for k in range(i, i + 10))) for i in range(16)]  # neighbours share 9 of 11 words, others less
+    got = text.dedup_similar(spark.createDataFrame(chain, "id long, title string"))
+    short = text.dedup_similar(spark.createDataFrame(chain[:4], "id long, title string"))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().treeString().splitlines())
+    assert sorted(r.id for r in got.collect()) == list(range(0, 16, 2))
+    assert size(got) == size(short)
+
+
 def test_losses_of_all_and_more_compound(spark):
     rows = [(DAY(2024, 1, d + 1), r) for d, r in enumerate((0.1, -1.5, 0.1, None, -2.0, 0.5, -1.0, 0.3))]
     got = [r.equity for r in backtest.compound(spark.createDataFrame(rows, "date date, r double")).orderBy("date").collect()]

@@ -138,18 +138,20 @@ def backfill_returns(decisions: DataFrame, prices: DataFrame, horizons=(1, 3, 5,
     """Returns of each decision after so many bars, from the first bar on; null with fewer bars in ``reach`` days.
 
     The bars of a decision are ranked by a lead over the series instead of a join of ranges: each bar knows its
-    followers, and a decision looks up its first one through an as-of window.
+    followers. The different days of decisions look up their first bar through an as-of window that runs backwards, as
+    a frame that ends with the series is summed anew for every row; decisions then join their day, of any number a day.
     """
     w = series()
     ahead = {f"_c{k}": F.lead("close", k).over(w) for k in horizons} | {f"_d{k}": F.lead("date", k).over(w) for k in horizons}
     bars_ = prices.select("ticker", "date", "close").withColumns(ahead)
-    row = F.struct("date", "close", *ahead)
-    both = bars_.select("ticker", "date", row.alias("_bar")).unionByName(decisions.select("ticker", F.col("decision_date").alias("date"), F.struct(*decisions.columns).alias("_dec")), allowMissingColumns=True)
-    first = F.first("_bar", ignorenulls=True).over(Window.partitionBy("ticker").orderBy(F.col("date"), F.col("_dec").isNull()).rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_bar", first).where("_dec is not null")
-    limit = F.date_add(F.col("_dec.decision_date"), reach)
+    days = decisions.select("ticker", F.col("decision_date").alias("date")).where("ticker is not null and date is not null").distinct()
+    both = bars_.select("ticker", "date", F.struct("date", "close", *ahead).alias("_bar")).unionByName(days, allowMissingColumns=True)
+    back = Window.partitionBy("ticker").orderBy(F.desc("date"), F.col("_bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    first = both.select("ticker", F.col("date").alias("decision_date"), F.last("_bar", ignorenulls=True).over(back).alias("_first"), F.col("_bar").isNull().alias("_day"))
+    found = decisions.join(first.where("_day").select("ticker", "decision_date", F.col("_first").alias("_bar")), ["ticker", "decision_date"], "left")
+    limit = F.date_add("decision_date", reach)
     out = [F.when((F.col("_bar.date") <= limit) & (F.col(f"_bar._d{k}") <= limit), F.round(sdiv(F.col(f"_bar._c{k}"), F.col("_bar.close")) - 1, 6)).alias(f"return_{k}d") for k in horizons]
-    return found.select("_dec.*", *out)
+    return found.select(*decisions.columns, *out)
 
 
 @query("decision_backfill", f"WITH {DECISIONS} SELECT * FROM filled")

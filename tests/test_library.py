@@ -370,3 +370,29 @@ def test_every_query_has_rows(spark):
     """Search terms and conditions that match something; what is empty proves nothing."""
     for name in ("ticker_search", "board_search", "set_difference", "event_filters", "tuple_in", "facts", "lessons", "alerts_open", "order_risk_checks", "paper_positions", "recent_decisions"):
         assert not registry.queries()[name](spark, SF).isEmpty(), name
+
+
+def test_returns_of_decisions_like_a_loop(spark):
+    from marlstone.plans.reports import backfill_returns
+
+    days = [DAY(2024, 1, 1) + datetime.timedelta(d) for d in (0, 1, 4, 5, 9, 11, 12, 13, 30)]
+    prices = [(t, d, 10.0 + 3 * k % 7) for t in ("x", "y", None) for k, d in enumerate(days)]
+    asked = [(t, DAY(2023, 12, 28) + datetime.timedelta(d)) for t in ("x", "y", "z", None) for d in range(40) for _ in range(2)] + [("x", None)]
+    own = [(i, d, t) for i, (t, d) in enumerate(asked)]
+    df = backfill_returns(spark.createDataFrame(own, "decision_id long, decision_date date, ticker string"), spark.createDataFrame(prices, "ticker string, date date, close double"))
+    want = {}
+    for i, d, t in own:
+        near = [c for u, b, c in prices if t is not None and d is not None and u == t and d <= b <= d + datetime.timedelta(15)]
+        want[i] = (d, t, *[round(near[k] / near[0] - 1, 6) if len(near) > k else None for k in (1, 3, 5, 10)])
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == want
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # summed anew for every row
+
+
+#: Queries on the returns of decisions.
+BACKFILLED = ["decision_backfill"]
+
+
+@pytest.mark.parametrize("name", BACKFILLED)
+def test_decisions_look_bars_up_in_one_pass(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "windowframe" in plan and "unboundedfollowing" not in plan

@@ -266,6 +266,7 @@ VOTES = "votes AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup'
 @query("committee_consensus", f"WITH {VOTES}, t AS (SELECT user_id, action, sum(conf) AS s FROM votes GROUP BY ALL) SELECT user_id, first(action ORDER BY s DESC, action) AS consensus, round(max(s) / NULLIF(sum(s), 0), 6) AS share FROM t GROUP BY user_id")
 def committee_consensus(spark, sf_dir):
     action = F.when(F.col("event_type").isin("purchase", "signup"), "buy").when(F.col("event_type") == "view", "hold").otherwise("sell")
-    t = table(spark, sf_dir, "events").groupBy("user_id", action.alias("action")).agg(F.sum(F.from_json("props", "k double")["k"] / 100).alias("s"))
-    first = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "action")))[0]["action"]  # three actions at most
+    # figures of k are whole, so that their sums are exact in any order and ties and halves do not hang on partitions
+    t = table(spark, sf_dir, "events").groupBy("user_id", action.alias("action")).agg(F.sum(F.from_json("props", "k double")["k"]).alias("s"))
+    first = F.array_sort(F.collect_list(F.struct(F.col("s").isNull().alias("none"), (-F.col("s")).alias("s"), "action")))[0]["action"]  # three actions at most
     return t.groupBy("user_id").agg(first.alias("consensus"), R(sdiv(F.max("s"), F.sum("s"))).alias("share"))

@@ -403,3 +403,23 @@ def test_backtest_goes_on_beyond_the_largest_double(spark):
     df = spark.createDataFrame(rows, "ticker string, date date, close double, en boolean, ex boolean")
     got = backtest.summarise(backtest.equity(df, ["ticker"], cash=1e307), ["ticker"], cash=1e307).first()
     assert math.isnan(got.total_return) and got.max_drawdown == -1.0 and (got.trade_count, got.win_rate) == (2, 1.0)
+
+
+def test_consensus_does_not_hang_on_the_order_of_events(spark, tmp_path):
+    import random
+    from fractions import Fraction
+
+    from marlstone.plans import trading
+
+    rng, rows, want = random.Random(3), [], {}
+    for user in range(150):  # shares of B / 1280, whose seventh decimal is a five and the last
+        b = rng.randrange(642, 1280, 4)
+        for kind, total in (("purchase", b), ("click", 1280 - b)):
+            cuts = sorted(rng.sample(range(1, total), min(12, total - 1)))
+            rows += [(user, kind, '{"k": %d}' % (hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, total])]
+        want[user] = ("buy", math.floor(Fraction(b, 1280) * 10**6 + Fraction(1, 2)) / 1e6)
+    rows += [(150, "view", "{}"), (150, "click", '{"k": 1}')]  # an unknown sum is not the largest
+    want[150] = ("sell", 1.0)
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "user_id long, event_type string, props string").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: (r.consensus, r.share) for r in trading.committee_consensus(spark, str(tmp_path)).collect()} == want

@@ -389,7 +389,7 @@ def test_returns_of_decisions_like_a_loop(spark):
 
 
 #: Queries on the returns of decisions.
-BACKFILLED = ["decision_backfill", "recent_decisions", "daily_report", "decision_accuracy", "pending_decisions"]
+BACKFILLED = ["decision_backfill", "recent_decisions", "daily_report", "decision_accuracy", "pending_decisions", "win_rate_last_n"]
 
 
 @pytest.mark.parametrize("name", BACKFILLED)

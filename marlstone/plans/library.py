@@ -16,9 +16,9 @@ from marlstone.sources.scratch import shared_path
 from .cleaning import W
 from .desk import _IND, curve, held
 from .factors import LONG, long, panel
-from .reports import DECISIONS, RUNS, decision_backfill, decisions, runs, where_all
+from .reports import DECISIONS, RUNS, counted, decisions, returns_by_day, runs, where_all
 from .research import BUCKETS, PAIRS, RANKED, pairs
-from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, fundamentals, index_bars, sbars, table, xsec
+from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, closes, fundamentals, index_bars, sbars, table, xsec
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -380,18 +380,19 @@ def daily_report(spark, sf_dir):
     """The last day in eight sections: index, brands, the highest momentum, drawdown, events and what fits them."""
     from marlstone.operators import report
 
-    ix = index_bars(spark, sf_dir).select("date", "close")
+    own = closes(spark, sf_dir)
+    ix = own.groupBy("date").agg(F.avg("close").alias("close"))
     w = Window.orderBy("date")  # a row a day
     last = ix.withColumns({"r": F.col("close") / F.lag("close").over(w) - 1, "dd": F.col("close") / F.max("close").over(w) - 1}).orderBy(F.desc("date")).limit(1)
     day = F.broadcast(last.select("date"))  # one row
-    changes = bars(spark, sf_dir).withColumn("r", F.col("close") / F.lag("close").over(series()) - 1).join(day, "date")
+    changes = own.withColumn("r", F.col("close") / F.lag("close").over(series()) - 1).join(day, "date")
     traded = changes.agg(F.format_string("%d traded, %d up, %d down", F.count("*"), F.count_if(F.col("r") > 0), F.count_if(F.col("r") < 0)).alias("t"))
-    momentum = long(spark, sf_dir, ["momentum_20d"]).join(day, "date").select("ticker", F.col("factor_value").alias("v"))
+    momentum = own.withColumn("v", factors.REGISTRY["momentum_20d"].build(series(), **factors.resolve("momentum_20d"))).where("v is not null").join(day, "date").select("ticker", "v")
     e = table(spark, sf_dir, "events")
     newest = F.broadcast(e.agg(F.to_date(F.max("ts")).alias("day")))
     kinds = e.join(newest, F.to_date("ts") == F.col("day")).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
-    recent = decision_backfill(spark, sf_dir).join(day, F.col("decision_date") > F.date_sub("date", 120))
-    right = recent.agg(F.format_string(", %d of %d recent decisions right", F.count_if(F.col("return_5d") > 0), F.count("return_5d")).alias("t"))
+    recent = returns_by_day(decisions(spark, sf_dir).join(day, F.col("decision_date") > F.date_sub("date", 120)), own)
+    right = recent.agg(F.format_string(", %d of %d recent decisions right", counted(F.col("return_5d") > 0), counted(F.col("return_5d").isNotNull())).alias("t"))
     mean = F.avg("v")
     side = momentum.agg(F.when(mean > 0.02, "bullish").when(mean < -0.02, "bearish").otherwise("neutral").alias("s"))
     return report.compose(last, [

@@ -6,7 +6,7 @@ import datetime
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.rolling import series
@@ -154,6 +154,16 @@ def backfill_returns(decisions: DataFrame, prices: DataFrame, horizons=(1, 3, 5,
     return found.select(*decisions.columns, *out)
 
 
+def returns_by_day(decisions: DataFrame, prices: DataFrame, *also: str) -> DataFrame:
+    """backfill_returns() of all decisions of a ticker, a day and other columns together, which have the same; n: how many."""
+    return backfill_returns(decisions.groupBy("ticker", "decision_date", *also).agg(F.count("*").alias("n")), prices)
+
+
+def counted(test) -> Column:
+    """Decisions of returns_by_day() that meet a test."""
+    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+
 @query("decision_backfill", f"WITH {DECISIONS} SELECT * FROM filled")
 def decision_backfill(spark, sf_dir):
     return backfill_returns(decisions(spark, sf_dir), bars(spark, sf_dir))

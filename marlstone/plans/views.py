@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import dropped, written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,10 +24,35 @@ def _bars(trades: DataFrame) -> DataFrame:
     )
 
 
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker")), F.col("l_partkey") == F.col("p_partkey"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the brands: their line items are trades."""
-    trades = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker")), F.col("l_partkey") == F.col("p_partkey"))
-    return _bars(trades)
+    return _bars(_trades(spark, sf_dir))
+
+
+#: Bars of up to so many are sent to all executors.
+SENT = 1_000_000
+
+
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and closes of bars(), written.
+
+    A largest tuple takes a sort of all trades, a largest number none. So bars first look up their last order; only its
+    line items are compared as bars() does.
+    """
+    order = F.coalesce("l_orderkey", F.lit(-(1 << 63)))  # unknown is least, as in bars()
+    last = written(_trades(spark, sf_dir).groupBy("ticker", F.to_date("l_shipdate").alias("date")).agg(F.max(order).alias("order")), "last")
+    items = table(spark, sf_dir, "lineitem").select("l_shipdate", *_ORDER)
+    of_last = items.join(F.broadcast(last) if last.count() <= SENT else last, (order == F.col("order")) & F.to_date("l_shipdate").eqNullSafe(F.col("date")))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    trades = of_last.join(part, (F.col("l_partkey") == F.col("p_partkey")) & F.col("ticker").eqNullSafe(F.col("p_brand")))
+    px = F.col("l_extendedprice") / F.col("l_quantity")
+    out = written(trades.groupBy("ticker", "date").agg(F.max_by(px, F.struct(*_ORDER)).alias("close")), "closes")
+    dropped(last)
+    return out
 
 
 def sbars(spark: SparkSession, sf_dir: str) -> DataFrame:

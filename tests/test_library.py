@@ -423,3 +423,41 @@ def test_consensus_does_not_hang_on_the_order_of_events(spark, tmp_path):
     rng.shuffle(rows)
     spark.createDataFrame(rows, "user_id long, event_type string, props string").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id: (r.consensus, r.share) for r in trading.committee_consensus(spark, str(tmp_path)).collect()} == want
+
+
+def _market(spark, path, trades, brands, decided):
+    """Tables of trades (order, line, part, price, day), parts' brands and decisions (day, customer)."""
+    stamp = lambda d: d and datetime.datetime(d.year, d.month, d.day)
+    spark.createDataFrame([(o, p, 1, n, 1.0, c, stamp(d)) for o, n, p, c, d in trades], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(k, c, stamp(d), f"{k % 3}") for k, (d, c) in enumerate(decided)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string").repartition(3).write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def _random_market(spark, path):
+    import random
+
+    rng, brands = random.Random(5), ["Brand#1", "Brand#2", "Brand#12", "Brand#2", None]
+    trades = [(rng.choice([None, *range(9)]), rng.randrange(2), rng.randrange(5), float(rng.randrange(1, 60)), rng.choice([None, *(DAY(2024, 1, 1) + datetime.timedelta(d) for d in range(40))])) for _ in range(900)]
+    decided = [(rng.choice([None, *(DAY(2024, 1, 1) + datetime.timedelta(d) for d in range(45))]), rng.choice([0, 1, 11, 30, None])) for _ in range(400)]
+    return _market(spark, path, trades, brands, decided)
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_closes_are_those_of_bars(spark, tmp_path, monkeypatch, sent):
+    """Lines of one order in one bar, unknown orders, brands and days; sent to all tasks or shuffled."""
+    from marlstone.plans import views
+
+    monkeypatch.setattr(views, "SENT", sent)
+    sf = _random_market(spark, tmp_path)
+    got, want = views.closes(spark, sf), views.bars(spark, sf).select("ticker", "date", "close")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+
+
+#: Queries that need no more than closes.
+OF_CLOSES = ["daily_report"]
+
+
+@pytest.mark.parametrize("name", OF_CLOSES)
+def test_closes_are_made_once_and_without_a_sort_of_trades(spark, name):
+    assert "l_extendedprice" not in registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -18,7 +18,7 @@ from .desk import _IND, curve, held
 from .factors import LONG, long, panel
 from .reports import DECISIONS, RUNS, counted, decisions, returns_by_day, runs, where_all
 from .research import BUCKETS, PAIRS, RANKED, pairs
-from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, closes, fundamentals, index_bars, sbars, table, xsec
+from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, closes, fundamentals, sbars, table, xsec
 
 R = lambda c, n=6: F.round(c, n)
 

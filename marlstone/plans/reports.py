@@ -13,7 +13,7 @@ from marlstone.functions.rolling import series
 from marlstone.functions.safe import number, sdiv
 from marlstone.registry import query
 
-from .views import BARS, INDEX, SBARS, bars, index_bars, sbars, table
+from .views import BARS, INDEX, SBARS, bars, closes, index_bars, sbars, table
 
 AS_OF = datetime.date(2001, 11, 4)
 
@@ -171,8 +171,9 @@ def decision_backfill(spark, sf_dir):
 
 @query("decision_accuracy", f"WITH {DECISIONS} SELECT signal_type, count(*) AS total, count(return_5d) AS done, count(*) FILTER (WHERE return_5d > 0) AS wins, round(count(*) FILTER (WHERE return_5d > 0) / NULLIF(count(return_5d), 0), 6) AS accuracy, round(avg(return_5d), 6) AS avg_return FROM filled GROUP BY ROLLUP (signal_type)")
 def decision_accuracy(spark, sf_dir):
-    d = decision_backfill(spark, sf_dir)
-    return d.rollup("signal_type").agg(F.count("*").alias("total"), F.count("return_5d").alias("done"), F.count_if(F.col("return_5d") > 0).alias("wins"), R(sdiv(F.count_if(F.col("return_5d") > 0), F.count("return_5d"))).alias("accuracy"), R(F.avg("return_5d")).alias("avg_return"))
+    d = returns_by_day(decisions(spark, sf_dir), closes(spark, sf_dir), "signal_type")
+    done, wins = counted(F.col("return_5d").isNotNull()), counted(F.col("return_5d") > 0)
+    return d.rollup("signal_type").agg(F.sum("n").alias("total"), done.alias("done"), wins.alias("wins"), R(sdiv(wins, done)).alias("accuracy"), R(sdiv(F.sum(F.col("return_5d") * F.col("n")), done)).alias("avg_return"))
 
 
 @query("win_rate_last_n", f"WITH {DECISIONS} SELECT ticker, round(avg(CAST(return_5d > 0 AS INTEGER)), 6) AS win_rate, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY decision_date DESC, decision_id DESC) AS rn FROM filled WHERE return_5d IS NOT NULL) WHERE rn <= 20 GROUP BY ticker")

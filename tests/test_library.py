@@ -455,9 +455,27 @@ def test_closes_are_those_of_bars(spark, tmp_path, monkeypatch, sent):
 
 
 #: Queries that need no more than closes.
-OF_CLOSES = ["daily_report"]
+OF_CLOSES = ["daily_report", "decision_accuracy"]
 
 
 @pytest.mark.parametrize("name", OF_CLOSES)
 def test_closes_are_made_once_and_without_a_sort_of_trades(spark, name):
     assert "l_extendedprice" not in registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_accuracy_is_that_of_single_decisions(spark, tmp_path):
+    from marlstone.plans import reports
+
+    sf, want = _random_market(spark, tmp_path), {}
+    for r in reports.decision_backfill(spark, sf).collect():
+        for kind in (r.signal_type, None):
+            want.setdefault(kind, []).append(r.return_5d)
+    got = {r.signal_type: r for r in reports.decision_accuracy(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for kind, all_ in want.items():
+        done = [x for x in all_ if x is not None]
+        wins = sum(x > 0 for x in done)
+        assert tuple(got[kind])[1:4] == (len(all_), len(done), wins) and 0 < wins < len(done) < len(all_)
+        assert got[kind].accuracy == pytest.approx(wins / len(done), abs=1e-6) and got[kind].avg_return == pytest.approx(sum(done) / len(done), abs=1e-6)
+    days = reports.returns_by_day(reports.decisions(spark, sf), reports.closes(spark, sf), "signal_type")
+    assert days.select("ticker", "decision_date", "signal_type").distinct().count() == days.count() < 400 == days.agg({"n": "sum"}).first()[0]

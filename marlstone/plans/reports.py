@@ -178,9 +178,11 @@ def decision_accuracy(spark, sf_dir):
 
 @query("win_rate_last_n", f"WITH {DECISIONS} SELECT ticker, round(avg(CAST(return_5d > 0 AS INTEGER)), 6) AS win_rate, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY decision_date DESC, decision_id DESC) AS rn FROM filled WHERE return_5d IS NOT NULL) WHERE rn <= 20 GROUP BY ticker")
 def win_rate_last_n(spark, sf_dir):
-    w = Window.partitionBy("ticker").orderBy(F.desc("decision_date"), F.desc("decision_id"))
-    d = decision_backfill(spark, sf_dir).where("return_5d is not null").withColumn("rn", F.row_number().over(w)).where("rn <= 20")
-    return d.groupBy("ticker").agg(R(F.avg((F.col("return_5d") > 0).cast("int"))).alias("win_rate"), F.count("*").alias("n"))
+    """Decisions of one day won or lost together, so the last 20 are days counted back until they are full."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("decision_date")).rowsBetween(Window.unboundedPreceding, 0)
+    d = returns_by_day(decisions(spark, sf_dir), closes(spark, sf_dir)).where("return_5d is not null")
+    last = d.withColumn("n", F.least("n", 20 - (F.sum("n").over(w) - F.col("n")))).where("n > 0")
+    return last.groupBy("ticker").agg(R(counted(F.col("return_5d") > 0) / F.sum("n")).alias("win_rate"), F.sum("n").alias("n"))
 
 
 _LATER = DECISIONS.replace("CAST(o_orderdate AS DATE) AS decision_date", "CAST(o_orderdate AS DATE) + 110 AS decision_date")

@@ -455,7 +455,7 @@ def test_closes_are_those_of_bars(spark, tmp_path, monkeypatch, sent):
 
 
 #: Queries that need no more than closes.
-OF_CLOSES = ["daily_report", "decision_accuracy"]
+OF_CLOSES = ["daily_report", "decision_accuracy", "win_rate_last_n"]
 
 
 @pytest.mark.parametrize("name", OF_CLOSES)
@@ -479,3 +479,15 @@ def test_accuracy_is_that_of_single_decisions(spark, tmp_path):
         assert got[kind].accuracy == pytest.approx(wins / len(done), abs=1e-6) and got[kind].avg_return == pytest.approx(sum(done) / len(done), abs=1e-6)
     days = reports.returns_by_day(reports.decisions(spark, sf), reports.closes(spark, sf), "signal_type")
     assert days.select("ticker", "decision_date", "signal_type").distinct().count() == days.count() < 400 == days.agg({"n": "sum"}).first()[0]
+
+
+def test_win_rate_is_that_of_single_decisions(spark, tmp_path):
+    from marlstone.plans import reports
+
+    sf, known = _random_market(spark, tmp_path), {}
+    for r in reports.decision_backfill(spark, sf).where("return_5d is not null").collect():
+        known.setdefault(r.ticker, []).append((r.decision_date, r.decision_id, r.return_5d > 0))
+    want = {t: (round(sum(x[2] for x in sorted(all_)[-20:]) / len(all_[-20:]), 6), len(all_[-20:])) for t, all_ in known.items()}
+    df = reports.win_rate_last_n(spark, sf)
+    assert {r.ticker: (r.win_rate, r.n) for r in df.collect()} == want and max(map(len, known.values())) > 20
+    assert "decision_id" not in df._jdf.queryExecution().optimizedPlan().toString()  # single decisions are not looked up

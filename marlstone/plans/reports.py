@@ -192,7 +192,7 @@ _LATER = DECISIONS.replace("CAST(o_orderdate AS DATE) AS decision_date", "CAST(o
 def pending_decisions(spark, sf_dir):
     """Decisions, here taken 110 days later so that some come after the last bars, that no return is known of yet."""
     later = decisions(spark, sf_dir).withColumn("decision_date", F.date_add("decision_date", 110))
-    d = backfill_returns(later, bars(spark, sf_dir)).where(" and ".join(f"return_{k}d is null" for k in (1, 3, 5, 10)))
+    d = backfill_returns(later, closes(spark, sf_dir)).where(" and ".join(f"return_{k}d is null" for k in (1, 3, 5, 10)))
     return d.select("decision_id", "ticker", "decision_date")
 
 

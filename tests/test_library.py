@@ -455,7 +455,7 @@ def test_closes_are_those_of_bars(spark, tmp_path, monkeypatch, sent):
 
 
 #: Queries that need no more than closes.
-OF_CLOSES = ["daily_report", "decision_accuracy", "win_rate_last_n"]
+OF_CLOSES = ["daily_report", "decision_accuracy", "win_rate_last_n", "pending_decisions"]
 
 
 @pytest.mark.parametrize("name", OF_CLOSES)
@@ -491,3 +491,12 @@ def test_win_rate_is_that_of_single_decisions(spark, tmp_path):
     df = reports.win_rate_last_n(spark, sf)
     assert {r.ticker: (r.win_rate, r.n) for r in df.collect()} == want and max(map(len, known.values())) > 20
     assert "decision_id" not in df._jdf.queryExecution().optimizedPlan().toString()  # single decisions are not looked up
+
+
+def test_pending_decisions_are_those_without_returns(spark, tmp_path):
+    from marlstone.plans import reports
+
+    sf = _random_market(spark, tmp_path)
+    later = reports.decisions(spark, sf).selectExpr("decision_id", "date_add(decision_date, 110) as decision_date", "ticker")
+    want = reports.backfill_returns(later, reports.bars(spark, sf)).where("coalesce(return_1d, return_3d, return_5d, return_10d) is null")
+    assert {r.decision_id for r in reports.pending_decisions(spark, sf).collect()} == {r.decision_id for r in want.collect()} != set()

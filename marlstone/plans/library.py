@@ -11,12 +11,12 @@ from marlstone.functions.rolling import series
 from marlstone.functions.safe import conform, number, sdiv
 from marlstone.operators import broker, evaluate, factors, knowledge, retrieval, strategies
 from marlstone.registry import query
-from marlstone.sources.scratch import shared_path
+from marlstone.sources.scratch import shared_path, written
 
 from .cleaning import W
 from .desk import _IND, curve, held
 from .factors import LONG, long, panel
-from .reports import DECISIONS, RUNS, counted, decisions, returns_by_day, runs, where_all
+from .reports import DECISIONS, RUNS, backfill_returns, counted, decisions, returns_by_day, runs, where_all
 from .research import BUCKETS, PAIRS, RANKED, pairs
 from .views import BARS, FUNDAMENTALS, INDEX, SBARS, XSEC, bars, closes, fundamentals, sbars, table, xsec
 
@@ -409,11 +409,12 @@ def daily_report(spark, sf_dir):
 
 @query("recent_decisions", f"WITH {DECISIONS} SELECT decision_id, ticker, decision_date, return_5d FROM filled WHERE ticker = 'Brand#12' ORDER BY decision_date DESC, decision_id DESC LIMIT 20")
 def recent_decisions(spark, sf_dir):
-    from .reports import backfill_returns
-
-    own = where_all(decisions(spark, sf_dir), ticker="Brand#12")
-    d = backfill_returns(own, where_all(bars(spark, sf_dir), ticker="Brand#12"))
-    return d.orderBy(F.desc("decision_date"), F.desc("decision_id")).limit(20).select("decision_id", "ticker", "decision_date", "return_5d")
+    """The newest decisions on a brand; bars are made of the days that these look up alone."""
+    newest = [F.desc("decision_date"), F.desc("decision_id")]
+    own = written(where_all(decisions(spark, sf_dir), ticker="Brand#12").orderBy(*newest).limit(20), "recent")
+    first, last = own.agg(F.min("decision_date"), F.date_add(F.max("decision_date"), 15)).first()
+    d = backfill_returns(own, where_all(bars(spark, sf_dir), ticker="Brand#12", start=first, end=last))
+    return d.orderBy(*newest).select("decision_id", "ticker", "decision_date", "return_5d")
 
 
 @query("equity_scan", f"WITH {BARS}, {INDEX}, curve AS (SELECT date, 1000000 * close / first_value(close) OVER (ORDER BY date) AS equity FROM index_bars) SELECT date, round(equity, 4) AS equity FROM curve WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' ORDER BY date")

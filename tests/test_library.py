@@ -500,3 +500,15 @@ def test_pending_decisions_are_those_without_returns(spark, tmp_path):
     later = reports.decisions(spark, sf).selectExpr("decision_id", "date_add(decision_date, 110) as decision_date", "ticker")
     want = reports.backfill_returns(later, reports.bars(spark, sf)).where("coalesce(return_1d, return_3d, return_5d, return_10d) is null")
     assert {r.decision_id for r in reports.pending_decisions(spark, sf).collect()} == {r.decision_id for r in want.collect()} != set()
+
+
+def test_recent_decisions_look_up_only_their_days(spark, tmp_path):
+    from marlstone.plans import library, reports
+
+    sf = _random_market(spark, tmp_path)
+    every = reports.decision_backfill(spark, sf).where("ticker = 'Brand#12'").collect()
+    want = sorted(every, key=lambda r: (r.decision_date is not None, r.decision_date or DAY(1, 1, 1), r.decision_id), reverse=True)[:20]
+    df = library.recent_decisions(spark, sf)
+    assert [tuple(r) for r in df.collect()] == [(r.decision_id, r.ticker, r.decision_date, r.return_5d) for r in want] and len(every) > 20
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "cast(l_shipdate" in plan.split("Filter", 1)[1] and f">= {min(r.decision_date for r in want)}" in plan
